@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, language, simhash, toxicity
+from . import common, decontaminate, language, lm, mixing, simhash, toxicity
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,12 +16,21 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(F.col("id").alias("doc_id"), common.fold("id", 4).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = language.train(docs, ~common.fold("id", 4))
     return language.identify(docs, model).select(F.col("id").alias("doc_id"), common.fold("id", 4).alias("held_out"), "lang_pred", "score")
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.scores(common.table(spark, sf_dir, "documents"), ~common.fold("id", 7))
+    return found.select(F.col("id").alias("doc_id"), common.fold("id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -40,8 +49,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op7_language, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op3_toxicity, op5_mixing, op7_language, op8_lm, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": mixing.SQL}
