@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, language, lm, mixing, pii, simhash, toxicity
+from . import common, decontaminate, html_template, language, lm, mixing, pii, simhash, toxicity
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_template.extract(common.table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +59,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op4_pii, op5_mixing, op7_language, op8_lm, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op2_html, op3_toxicity, op4_pii, op5_mixing, op7_language, op8_lm, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
