@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, html_template, language, lm, mixing, pii, simhash, toxicity
+from . import common, decontaminate, html_template, importance, language, lm, media, mixing, pii, simhash, toxicity
+
+
+def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = common.table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return importance.resample(common.table(spark, sf_dir, "documents"), target).withColumnRenamed("id", "doc_id")
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +35,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.document_media(common.table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = language.train(docs, ~common.fold("id", 4))
@@ -59,7 +69,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html, op3_toxicity, op4_pii, op5_mixing, op7_language, op8_lm, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_importance, op2_html, op3_toxicity, op4_pii, op5_mixing, op6_media, op7_language, op8_lm, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
