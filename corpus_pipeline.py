@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import common, decontaminate, simhash, toxicity
+from tidepool.llm import common, decontaminate, mixing, pii, simhash, toxicity
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +23,22 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts gives way to its kind in brackets."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with how many of their words, repeats counted."""
+    return mixing.mix(docs).where("taken > 0")
+
+
 STAGES = [
     ("toxicity", remove_toxic),
     ("simhash_near_dedup", remove_near_duplicates),
     ("benchmark_decontamination", remove_benchmark),
+    ("personal_data", mask_personal_data),
+    ("mixing", mix_sources),
 ]
 
 #: The classifier, the connected components and the index can't be put into SQL.
