@@ -58,8 +58,8 @@ def meter_billing(t: Tables) -> DataFrame:
 
 @plan(
     "INCR", "INCRBY", "DECR", "DECRBY", "INCRBYFLOAT", "COUNTER.*", "COUNTERX.*", "COUNTERX2.*", "GAUGE.*", "SEQUENCE.*", "ANALYTICS.DECR", "LEVEL.*", "ID.*",
-    sql="""with s as (select user_id, max(event_id) filter (event_type = 'signup') as at from events group by 1)
-    select e.user_id, coalesce(sum(case when event_type = 'error' then -1 else 1 end) filter (at is null or event_id > at), 0)::bigint as value from events e join s on s.user_id = e.user_id group by 1""",
+    sql="""with s as (select user_id, max(event_id) filter (event_type = 'signup') as t0 from events group by 1)
+    select e.user_id, coalesce(sum(case when event_type = 'error' then -1 else 1 end) filter (t0 is null or event_id > t0), 0)::bigint as value from events e join s on s.user_id = e.user_id group by 1""",
 )
 def counter_with_reset(t: Tables) -> DataFrame:
     """Events count up, errors down, a signup sets to 0."""
