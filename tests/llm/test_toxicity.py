@@ -16,8 +16,8 @@ def test_held_out_accuracy(spark):
 
 
 def test_fit_ranks_planted_words():
-    clean = [{f"word{i}", f"plain{i % 7}"} for i in range(400)]
-    bad = [{f"word{i}", "vile"} for i in range(40)]
+    clean = [f"word{i} plain{i % 7}" for i in range(400)]
+    bad = [f"word{i} vile" for i in range(40)]
     model = toxicity.fit(bad[:20], clean + bad, 0.1)
     assert model.score("this is VILE") > 0.5 > 0.3 > model.score("plain3 word5")
     assert model.score(None) == model.score("") == model.score("123 !!")

@@ -13,7 +13,6 @@ hash of the id. Scoring reads every word of every text.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from . import common
 
 common.shipped(__name__)
 
-MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 3000, 6000, 1500
+MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 2000, 5000, 1500
 THRESHOLD = 0.3
 #: Lengths of word beginnings, in code points.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -58,35 +57,69 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(x, -500), 500))))
 
 
-def chosen(positive: list[set[str]], unlabelled: list[set[str]], most: int) -> list[str]:
-    """Features much commoner in P than in U, the surest first."""
-    p, u = Counter(f for d in positive for f in d), Counter(f for d in unlabelled for f in d)
-    np_, nu = max(1, len(positive)), max(1, len(unlabelled))
-    scored = []
-    for f, k in p.items():
-        rate = (u[f] + 0.5) / (nu + 1)
-        if k >= 6 and (k + 0.5) / (np_ + 1) > 3 * rate:
-            scored.append((-(k - np_ * rate) / (np_ * rate) ** 0.5, f))
-    return [f for _, f in sorted(scored)[:most]]
-
-
-def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, most: int = MAX_FEATURES, steps: int = 300) -> Model | None:
-    """positive, unlabelled: words of each document. None without positives."""
+class Table:
+    """Features of documents as numbers; each word's are looked up once."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self._number: dict[str, int] = {}
+        self._of: dict[str, np.ndarray] = {}
+
+    def _features(self, word: str) -> np.ndarray:
+        out = []
+        for f in features_of(word):
+            if f not in self._number:
+                self._number[f] = len(self.names)
+                self.names.append(f)
+            out.append(self._number[f])
+        return np.array(out, np.int32)
+
+    def document(self, words: str) -> np.ndarray:
+        parts = []
+        for w in words.split():
+            own = self._of.get(w)
+            if own is None:
+                own = self._of[w] = self._features(w)
+            parts.append(own)
+        return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int32)
+
+    def counts(self, docs: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(self.names), np.int64)
+        for d in docs:
+            out[d] += 1
+        return out
+
+
+def chosen(p: np.ndarray, n_p: int, u: np.ndarray, n_u: int, most: int, names: list[str]) -> list[int]:
+    """Features much commoner in P than in U, the surest first. p, u: documents that have each."""
+    rate = (u + 0.5) / (n_u + 1)
+    sure = (p - n_p * rate) / np.sqrt(n_p * rate)
+    fit_ = np.flatnonzero((p >= 6) & ((p + 0.5) / (n_p + 1) > 3 * rate))
+    return sorted(fit_.tolist(), key=lambda i: (-sure[i], names[i]))[:most]
+
+
+def fit(positive: list[str], unlabelled: list[str], prior: float, most: int = MAX_FEATURES, steps: int = 300) -> Model | None:
+    """positive, unlabelled: the distinct words of each document, parted by spaces. None without positives."""
     if not positive or not unlabelled:
         return None
     prior = min(max(prior, 1e-4), 0.9)
-    pf, uf = ([{f for w in d for f in features_of(w)} for d in docs] for docs in (positive, unlabelled))
-    names = chosen(pf, uf, most)
-    number = {f: i for i, f in enumerate(names)}
-
-    def matrix(docs: list[set[str]]) -> np.ndarray:
+    table = Table()
+    pf, uf = ([table.document(d) for d in docs] for docs in (positive, unlabelled))
+    columns = chosen(table.counts(pf), len(pf), table.counts(uf), len(uf), most, table.names)
+    names = [table.names[i] for i in columns]
+    number = np.full(len(table.names), -1)
+    number[columns] = np.arange(len(columns))
+
+    def matrix(docs: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((len(docs), len(names) + 1), np.float32)
         x[:, -1] = 1
         for i, d in enumerate(docs):
-            x[i, [number[f] for f in d if f in number]] = 1
+            at = number[d]
+            x[i, at[at >= 0]] = 1
         return x
 
     xp, xu = matrix(pf), matrix(uf)
+    del table, pf, uf
     w = np.zeros(len(names) + 1, np.float32)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -111,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     if not prior:
         return None
 
-    def sample(ids: DataFrame, most: int) -> list[set[str]]:
+    def sample(ids: DataFrame, most: int) -> list[str]:
         first = ids.distinct().orderBy(F.xxhash64("id"), "id").limit(most)  # at most `most` ids are broadcast
         picked = texts.join(F.broadcast(first), "id", "left_semi")
 
@@ -119,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
             for b in batches:
                 yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(words_of(t))) for t in b.column(1).to_pylist()], pa.string())], ["words"])
 
-        return [set(r[0].split()) for r in common.map_texts(picked, run, "words string").collect()]
+        return [r[0] for r in common.map_texts(picked, run, "words string").collect()]
 
     return fit(sample(marked.where("y = 1").select("id"), MAX_POSITIVE), sample(texts.where(learn).select("id"), MAX_UNLABELLED), prior)
 
