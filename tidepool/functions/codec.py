@@ -9,6 +9,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HASHES = ("md5", "sha1", "sha256", "sha384", "sha512")
 
@@ -31,7 +32,7 @@ def hmac(key: str, x: Column, algorithm: str) -> Column:
     return digest(F.concat(outer, F.unhex(digest(F.concat(inner, x.cast("binary")), name))), name)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def adler32(x: pd.Series) -> pd.Series:
     return x.map(lambda s: zlib.adler32(s.encode()) if s is not None else None)
 
@@ -48,12 +49,12 @@ def rle_decode(x: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.repeat(F.right(r, F.lit(1)), F.left(r, F.length(r) - 1).cast("int"))), "")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def compress(x: pd.Series) -> pd.Series:
     return x.map(lambda s: zlib.compress(s.encode()) if s is not None else None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decompress(x: pd.Series) -> pd.Series:
     return x.map(lambda b: zlib.decompress(b).decode() if b is not None else None)
 

@@ -10,6 +10,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def get(doc: Column, path: str = "$") -> Column:
@@ -45,7 +46,7 @@ def diff(a: Column, b: Column) -> Column:
 def _edit(path: str, change: Callable[[Any], Any], remove: bool = False) -> Callable[[Column], Column]:
     way = [int(i) if i else k for k, i in re.findall(r"(?:^\$)?\.?([^.\[\]$]+)|\[(\d+)\]", path)]
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(docs: pd.Series) -> pd.Series:
         def one(text: str | None) -> str | None:
             try:

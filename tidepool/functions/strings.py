@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def strlen(s: Column) -> Column:
@@ -154,7 +155,7 @@ def diff_lines(a: Column, b: Column) -> Column:
     return F.struct(F.size(F.array_except(y, x)).alias("added"), F.size(F.array_except(x, y)).alias("removed"), F.size(F.array_intersect(x, y)).alias("unchanged"))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence; there is no built-in function for it."""
 

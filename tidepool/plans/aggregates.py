@@ -19,7 +19,7 @@ def _single(kind: str, commands: str, sql: str) -> None:
 
 
 for _kind, _commands, _sql in (
-    ("sum", "AGG.SUM AGG.PUSH ANALYTICS.SUM ANALYTICS.INCR AGGREGATOR.GET AGGREGATOR.ADD MATH.SUM", "sum(l_quantity)"),
+    ("sum", "AGG.SUM AGG.PUSH ANALYTICS.SUM ANALYTICS.INCR AGGREGATOR.* MATH.SUM", "sum(l_quantity)"),
     ("avg", "AGG.AVG ANALYTICS.AVG ROLLUPX.GET ROLLUPX.ADD MATH.AVG", "avg(l_quantity)"),
     ("min", "AGG.MIN ANALYTICS.MIN", "min(l_quantity)"),
     ("max", "AGG.MAX ANALYTICS.MAX", "max(l_quantity)"),
