@@ -8,7 +8,7 @@ __all__ = ["PLANS", "Plan", "aggregates", "analytics", "keyspace", "ranked", "re
 
 #: Commands of a server process: links, replicas, clients and shutdown. Spark's cluster has its own.
 SERVER = frozenset(
-    "ACL ASKING AUTH BGREWRITEAOF BGSAVE CLIENT CLUSTERINFO CLUSTERNODES CLUSTERSLOTS DEBUG DEBUGSEGFAULT LASTSAVE LATENCY LOLWUT MEMINFO MONITOR PSYNC QUIT READONLY READWRITE REPLCONF REPLICAOF ROLE SAVE SENTINEL SHUTDOWN SLAVEOF STRALGO SWAPDB SYNC WAIT WAITAOF".split()
+    "ACL ASKING AUTH BGREWRITEAOF BGSAVE CLIENT CLUSTER CLUSTERINFO CLUSTERNODES CLUSTERSLOTS CONFIG DEBUG DEBUGSEGFAULT LASTSAVE LATENCY LOLWUT MEMINFO MEMORY MONITOR PSYNC QUIT READONLY READWRITE REPLCONF REPLICAOF ROLE SAVE SENTINEL SHUTDOWN SLAVEOF SLOWLOG STRALGO SWAPDB SYNC WAIT WAITAOF".split()
 )
 
 
