@@ -13,7 +13,9 @@ PATTERNS = {"email": EMAIL, "url": URL, "ip": IP, "alpha": "^[A-Za-z]+$", "alpha
 
 
 def valid(s: Column, kind: str) -> Column:
-    return F.try_parse_json(s).isNotNull() if kind == "json" else s.rlike(PATTERNS[kind])
+    if kind == "json":  # the parser stops after a value; within brackets, what follows is an error
+        return F.coalesce(F.size(F.from_json(F.concat(F.lit("["), s, F.lit("]")), "array<string>")) == 1, F.lit(False))
+    return s.rlike(PATTERNS[kind])
 
 
 def length_between(s: Column, low: int, high: int) -> Column:

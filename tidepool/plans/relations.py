@@ -34,9 +34,9 @@ def set_intercard(t: Tables) -> DataFrame:
     return s.intersection([_set(t, k) for k in _SQL], "user_id").agg(F.count("*").alias("n"))
 
 
-@plan("SDIFF", "SDIFFSTORE", "SREM", sql="select distinct user_id from events where event_type = 'click' except select user_id from events where value > 60")
+@plan("SDIFF", "SDIFFSTORE", "SREM", sql="select distinct user_id from events where event_type = 'click' except select user_id from events where user_id % 3 = 0")
 def set_diff(t: Tables) -> DataFrame:
-    return s.difference(t.events.where("event_type = 'click'").select("user_id"), [t.events.where("value > 60")], "user_id")
+    return s.difference(t.events.where("event_type = 'click'").select("user_id"), [t.events.where("user_id % 3 = 0")], "user_id")
 
 
 @plan("SISMEMBER", "SMISMEMBER", sql=f"select c_custkey as user_id, c_custkey in ({_SQL['click']}) as found from customer")
