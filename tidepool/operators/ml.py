@@ -75,10 +75,11 @@ def together(df: DataFrame, basket: str, item: str, least: int, most_in_basket:
 
     Baskets of more than ``most_in_basket`` items are cut by item hash into parts that are paired with each other, so no task holds a whole one.
     """
-    rows = df.select(basket, item).distinct()
-    size = rows.groupBy(basket).agg(F.ceil(F.count("*") / most_in_basket).cast("int").alias("__n"))
-    parts = rows.join(size, basket).withColumn("__own", F.pmod(F.xxhash64(item), F.col("__n")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    parts = parts.select(basket, F.col(item).alias("i"), "__own", F.least("__own", "__other").alias("__x"), F.greatest("__own", "__other").alias("__y"))
-    a, b = parts.select(basket, "__x", "__y", F.col("i").alias("a"), F.col("__own").alias("__oa")), parts.select(basket, "__x", "__y", F.col("i").alias("b"), F.col("__own").alias("__ob"))
-    pairs = a.join(b, [basket, "__x", "__y"]).where("a < b AND (__x = __y OR __oa <> __ob)")
+    rows = df.select(F.col(basket).alias("__basket"), F.col(item).alias("i")).distinct()
+    size = rows.groupBy("__basket").agg(F.ceil(F.count("*") / most_in_basket).cast("int").alias("__n"))
+    parts = rows.join(size, "__basket").withColumn("__own", F.pmod(F.xxhash64("i"), F.col("__n")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    parts = parts.select("__basket", "i", "__own", F.least("__own", "__other").alias("__x"), F.greatest("__own", "__other").alias("__y"))
+    keys = ["__basket", "__x", "__y"]
+    a, b = parts.select(*keys, F.col("i").alias("a"), F.col("__own").alias("__oa")), parts.select(*keys, F.col("i").alias("b"), F.col("__own").alias("__ob"))
+    pairs = a.join(b, keys).where("a < b AND (__x = __y OR __oa <> __ob)")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
