@@ -216,7 +216,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of df without those whose component has a smaller id. All columns stay.
 
-    Rows that share an id stay or go together; rows without an id stay.
+    Of rows that share id and text one stays, whichever; rows that share an id but not the text
+    stay or go by that id. Rows without an id stay.
     """
-    away = near_duplicates(df, id_col, text_col, shingle, max_bits).where(F.col("component") < F.col("id")).select(F.col("id").alias("__away")).distinct()
-    return df.join(common.checkpoint(away), F.col(id_col) == F.col("__away"), "left_anti")
+    found = common.checkpoint(near_duplicates(df, id_col, text_col, shingle, max_bits))
+    away = common.checkpoint(found.where(F.col("component") < F.col("id")).select(F.col("id").alias("__id")).distinct())
+    kept = df.join(away, F.col(id_col) == F.col("__id"), "left_anti")
+    twice = common.checkpoint(found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("__id")))
+    if twice.isEmpty():
+        return kept
+    repeats = F.col(id_col) == F.col("__id")
+    return kept.join(twice, repeats, "left_anti").union(kept.join(twice, repeats, "left_semi").dropDuplicates([id_col, text_col]))
