@@ -29,6 +29,7 @@ def test_stages_step_by_step(spark, tmp_path):
     masked = kept["personal_data"]
     assert masked.keys() == kept["benchmark_decontamination"].keys()
     assert not any(re.search(r"[A-Za-z0-9]@[A-Za-z0-9-]+\.[A-Za-z]", r.text) for r in masked.values())
+    assert all(r.n_chars == len(r.text) for stage in kept.values() for r in stage.values())
     mixed = kept["mixing"]
     assert {"size", "source_size", "target", "taken"} <= set(docs.columns)
     for source in {r.source for r in masked.values()}:
