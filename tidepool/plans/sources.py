@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scripts import Functions, Pipeline
-from ..operators import kv
+from ..operators import kv, replay
 from ..sources import files, oplog
 from ..streaming.windows import folder
 from .base import Tables, plan
@@ -107,3 +107,33 @@ def pipeline_steps(t: Tables) -> DataFrame:
 @plan("BATCH.SUBMIT", "BATCH.STATUS", "BATCH.LIST", "BATCH.CANCEL", "COMMAND", "PING", "ECHO", sql="select o_orderstatus as status, count(*) as n from orders group by 1")
 def batch_status(t: Tables) -> DataFrame:
     return t.orders.groupBy(c("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+
+
+def _orders_log(t: Tables, op: str, *args: str) -> DataFrame:
+    """Orders as commands, in the order of their keys."""
+    return t.orders.select(c("o_orderkey").alias("seq"), F.lit(op).alias("op"), F.array(*[F.expr(a).cast("string").cast("binary") for a in args]).alias("args"))
+
+
+@plan("HSET", "HMSET", sql="select o_custkey::varchar as key, o_orderpriority as field, arg_max(o_orderkey, o_orderkey)::varchar as value from orders group by 1, 2")
+def replay_hashes(t: Tables) -> DataFrame:
+    return replay.hashes(_orders_log(t, "HSET", "o_custkey", "o_orderpriority", "o_orderkey"))
+
+
+@plan("INCRBY", "INCR", sql="select o_custkey::varchar as key, count(*)::varchar as value from orders group by 1")
+def replay_counters(t: Tables) -> DataFrame:
+    return replay.strings(_orders_log(t, "INCR", "o_custkey"))
+
+
+@plan("SADD", sql="select distinct o_orderstatus as key, o_custkey::varchar as member from orders")
+def replay_sets(t: Tables) -> DataFrame:
+    return replay.sets(_orders_log(t, "SADD", "o_orderstatus", "o_custkey"))
+
+
+@plan("ZADD", "ZINCRBY", sql="select o_orderstatus as key, o_custkey::varchar as member, sum(o_orderkey % 100)::double as score from orders group by 1, 2")
+def replay_ranked(t: Tables) -> DataFrame:
+    return replay.ranked_sets(_orders_log(t, "ZINCRBY", "o_orderstatus", "o_orderkey % 100", "o_custkey"))
+
+
+@plan("RPUSH", sql="select o_custkey::varchar as key, row_number() over (partition by o_custkey order by o_orderkey)::int as pos, o_orderkey::varchar as value from orders")
+def replay_lists(t: Tables) -> DataFrame:
+    return replay.lists(_orders_log(t, "RPUSH", "o_custkey", "o_orderkey"))
