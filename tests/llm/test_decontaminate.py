@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -41,6 +42,10 @@ def test_query_against_brute_force(spark, sf):
     assert any(x[-1] for x in want)
     got = [tuple(r) for r in queries.op9_decontamination(spark, sf).collect()]
     assert sorted(got) == sorted(want)
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    assert sorted(c.sql(d.SQL).fetchall()) == sorted(want)
 
 
 @pytest.mark.parametrize("shard", [1 << 18, 40])

@@ -286,3 +286,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             yield b
 
     return common.map_texts(docs, run, docs.schema)
+
+
+#: The rows of the query in DuckDB.
+SQL = r"""
+with lowered as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
+items as (
+  select item_id::varchar as item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null and text is not null),
+phrases as (
+  select distinct item, least(10, len(w)) as n, array_to_string(w[i:i + 9], ' ') as p from (select item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from items where len(w) > 0)),
+places as (
+  select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as p from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from lowered, (select distinct n from phrases))),
+found as (select doc_id, n, i, item from places join phrases using (n, p)),
+hits as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + n)) as k from found) group by 1),
+named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, item from found) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from lowered left join hits using (doc_id) left join named using (doc_id)
+"""

@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.SQL}
+    return {"op5_mixing": mixing.SQL, "op9_decontamination": decontaminate.SQL}
