@@ -14,7 +14,9 @@ def ranks(z: DataFrame, key: str, member: str, score: str, descending: bool = Fa
 
 def top(z: DataFrame, key: str, member: str, score: str, n: int, descending: bool = True) -> DataFrame:
     """First n of each key. Spark keeps n rows of each partition before the shuffle."""
-    return ranks(z, key, member, score, descending).where(F.col("rank") < n)
+    order = [F.desc(score), F.desc(member)] if descending else [F.asc(score), F.asc(member)]
+    numbered = z.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__n") <= n)
+    return numbered.withColumn("rank", F.col("__n") - 1).drop("__n")
 
 
 def rank_range(z: DataFrame, key: str, member: str, score: str, start: int, stop: int) -> DataFrame:
