@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import common, decontaminate, mixing, pii, simhash, toxicity
+from tidepool.llm import common, decontaminate, jaccard, mixing, pii, toxicity
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -20,8 +20,11 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return simhash.deduplicate(docs)
+    """Of each group of near copies the document with the smallest id stays.
+
+    Near copies share 4/5 of their 5-word shingles or more, or link in SimHash.
+    """
+    return jaccard.deduplicate(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -219,7 +219,12 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Of rows that share id and text one stays, whichever; rows that share an id but not the text
     stay or go by that id. Rows without an id stay.
     """
-    found = common.checkpoint(near_duplicates(df, id_col, text_col, shingle, max_bits))
+    return without_copies(df, near_duplicates(df, id_col, text_col, shingle, max_bits), id_col, text_col)
+
+
+def without_copies(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df that stay. found: (id, component) of each row."""
+    found = common.checkpoint(found)
     away = common.checkpoint(found.where(F.col("component") < F.col("id")).select(F.col("id").alias("__id")).distinct())
     kept = df.join(away, F.col(id_col) == F.col("__id"), "left_anti")
     twice = common.checkpoint(found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("__id")))
