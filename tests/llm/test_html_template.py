@@ -69,3 +69,14 @@ def test_equal_vectors_form_a_template(spark):
     blocks = h.Page(rows[0][2]).blocks
     assert roles[h.block_token(blocks[0][0], "Always here")] == 2
     assert h.block_token(blocks[1][0], "Page 0 only") not in roles
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    mirror = page("<div class=a><h1>Title</h1><p>One story that three addresses have</p></div>")
+    rows = [(i, f"http://m.example/{i}", mirror) for i in range(3)]
+    story = [page(f"<div id=top>Daily Paper</div><div class=x><p>Story {i} tells of {i * 7} things</p></div>") for i in range(3)]
+    rows += [(10 + i, f"http://n.example/{i}", story[min(i, 2)]) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.id: r.text for r in h.extract(df).collect()}
+    assert [got[i] for i in range(3)] == ["Title\nOne story that three addresses have"] * 3
+    assert [got[10 + i] for i in range(9)] == [f"Story {min(i, 2)} tells of {min(i, 2) * 7} things" for i in range(9)]

@@ -197,7 +197,10 @@ def host_of(url: str | None) -> int:
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, tokens, roles): the template of each host that has one. roles as in Page.text."""
+    """(host, tokens, roles): the template of each host that has one. roles as in Page.text.
+
+    Copies of a page on a host count once: what only they share is no template.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list[int]] = {}
@@ -209,8 +212,7 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys.T, *values.T)], ["host", "token", "pages", "total", "f1", "f2", "mass"])
 
         for b in batches:
-            for url, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                host = host_of(url)
+            for host, source in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 h = xxhash.xxh64_intdigest((source or "").encode("utf-8", "surrogatepass"))
                 h1, h2 = h & 0x3FFFFFFF, h >> 34
                 for token, (n, mass) in [(0, (1, 0)), *Page(source).tokens().items()]:
@@ -224,7 +226,9 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
                 yield out()
         yield out()
 
-    counts = common.map_texts(pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")), run, "host long, token long, pages long, total long, f1 long, f2 long, mass long")
+    rows = pages.select(F.xxhash64(html_col).alias("copy"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    distinct = common.map_texts(rows, hashed, "host long, copy long, url string, html string").dropDuplicates(["host", "copy"])
+    counts = common.map_texts(distinct.select("host", "copy", "html"), run, "host long, token long, pages long, total long, f1 long, f2 long, mass long")
     sums = common.checkpoint(counts.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "f1", "f2", "mass")]).where(f"pages >= {LEAST_PAGES} or token = 0"))
     hosts = sums.where("token = 0").select("host", F.col("pages").alias("all"))
     tokens = sums.where("token <> 0").join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("all"))
