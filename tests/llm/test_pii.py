@@ -92,3 +92,54 @@ def test_plan_is_native(spark, sf):
     for out in (pii.candidates(df), pii.redact(df.withColumn("text", F.col("text")))):
         plan = out._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|Arrow|MapPartitions", plan)
+
+
+def hostile(n):
+    seeds = ["a.", "[at]", "a[at]", "(((", "1 ", "1.", "1-", "+1", "+1(", "a@", "a@b.", "x@y.z ", "x[at]y.z ", "212-555-0123 ", "token=", "token = a1", "sk-", "eyJa.", "é", "😀.", "4111 1111 1111 1111 ", "10.0.0.1 "]
+    return [s * (n // len(s)) for s in seeds] + ["x[at]" + "a." * n, "x[at]" + "a[dot]" * (n // 6), "x@y.zz u[at]v.ww " * (n // 17), "x@" + "a." * n, "1" * n, "token = '" + "a1" * n]
+
+
+def test_hostile_texts_against_plain(spark):
+    texts = hostile(3000)
+    for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert r.base == ",".join(f"{k}:{a}:{b}" for k, a, b in plain(texts[r.id])), texts[r.id][:20]
+
+
+def test_no_long_text_overflows_the_stack(spark):
+    df = spark.createDataFrame(list(enumerate(hostile(200_000))), "doc_id long, text string")
+    assert pii.redact(df).selectExpr("sum(length(text))").first()[0] > 0
+
+
+def spans_masked(text, spans):
+    """The text with spans (begin, kind, stop) masked, plainly."""
+    out, last = [], 0
+    for begin, kind, stop in sorted(spans):
+        if begin >= last:
+            out += [text[last:begin], f"[{pii.KINDS[kind].upper()}]"]
+        last = max(last, stop)
+    return "".join([*out, text[last:]])
+
+
+def test_redaction_masks_the_spans_found(spark, sf):
+    long = "é" * 255 + "a@b.cc" + "😀" * 1000 + " +1 (487) 555-7209 4111 1111 1111 1111" + " x" * 700 + " token = 'ab12cd34ab12cd34ab12cd34ab12cd34'"
+    fixed = [long, "+4111111111111111 1.2.3.4@5.6.7.8 x", "a@b.cc" * 400, "10.0.0.1" * 3 + "\n" + "10.0.0.1 " * 900]
+    whole = spark.createDataFrame([(10_000_000 + i, t) for i, t in enumerate(fixed)], "doc_id long, text string").union(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    texts = {r.doc_id: r.text for r in whole.collect()}
+    found = {r.id: [(x.begin, x.k, x.stop) for x in r.all_spans] for r in pii.find(whole).collect()}
+    for r in pii.redact(whole).collect():
+        assert r.text == (None if r.text is None else spans_masked(texts[r.doc_id], found[r.doc_id])), r.doc_id
+
+
+def test_extra_spans_touch_no_base_span(spark):
+    text = "x@y.zz u[at]v.ww a@b.cc (212) 555-0123 +1 212-555-0123 joe[at]x.com " * 60
+    row = pii.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.extra
+    for x in row.extra:
+        assert not any(b.begin < x.stop and x.begin < b.stop for b in row.base)
+
+
+def test_secrets(spark, sf):
+    rows = [(10_000_000 + i, f"set token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" here. token = ring of the words. mail a{i}@b.com") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").union(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    out = pii.redact(docs).where("doc_id >= 10000000").collect()
+    assert all(r.text == 'set token = "[SECRET]" here. token = ring of the words. mail [EMAIL]' for r in out)

@@ -25,11 +25,13 @@ from . import common
 
 common.shipped(__name__)
 
-KINDS = ("email", "ip", "card", "phone")
+#: The first four have base patterns.
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS = 4
 #: Least probability at which a looser candidate counts.
 ACCEPTED = 0.9
-#: Matches that are summed at a time; keeps the running sums of a long text linear.
-CHUNK = 128
+#: Matches that are summed at a time, and code points of a piece; keep the work on a long text linear.
+CHUNK, PIECE = 128, 256
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,7 @@ class Pattern:
 
 
 _EMAIL_ENDS = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|eu"
+_NAMED = "(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Pp]asswd|[Pp]wd|[Kk]ey|KEY)"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Order: base patterns by kind, then looser forms. Votes are SQL on m (match); cue is a pattern for what stands before.
 PATTERNS = (
@@ -93,7 +96,7 @@ PATTERNS = (
     Pattern(
         0,
         False,
-        r"[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{1,63})+",
+        r"[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{1,63}+)++",
         r"text rlike r'[\[(]at[\])]'",
         "true",
         r"if(m rlike r'^[A-Za-z0-9].*[A-Za-z]{2,}$', 1, -1)",
@@ -110,6 +113,26 @@ PATTERNS = (
         r"if(m rlike r'^\(?[2-9]', 1, -1)",
         r"phone|tel|call|mobile|fax|cell|whatsapp|anruf|appel|llam",
     ),
+    Pattern(
+        4,
+        False,
+        rf"(?<=[ :=\x27\x22])(?<={_NAMED}[\x27\x22]{{0,1}} {{0,1}}[:=] {{0,1}}[\x27\x22]{{0,1}})[A-Za-z0-9+/_.=-]{{16,}}+",
+        rf"text rlike r'{_NAMED}[\x27\x22]? ?[:=]'",
+        "true",
+        "if(m rlike '[0-9]' and m rlike '[A-Za-z]', 1, -1)",
+        "if(m rlike '^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$', 1, 0)",
+        r"token|secret|passw|pwd|key|auth",
+    ),
+    Pattern(
+        4,
+        False,
+        r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk[_-][A-Za-z0-9_-]{20,}+|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5,}+)",
+        "text rlike 'AKIA|gh[pousr]_|xox[abprs]-|sk[_-]|AIza|eyJ'",
+        "true",
+        "if(m rlike '[0-9]' and m rlike '[A-Za-z]', 1, -1)",
+        "if(m rlike '^(?:AKIA|gh|xox|AIza|eyJ)', 1, 0)",
+        r"token|secret|passw|pwd|key|auth|bearer",
+    ),
 )
 LABELERS = 4
 
@@ -155,13 +178,23 @@ def _none() -> str:
 SEEN = ("n", "v1", "v2", "v3", "v4", "size", "parted")
 
 
+def _clear(kind: int) -> str:
+    """SQL: whether x touches no base span of a kind, whose spans are in order and apart: the last that begins before x stops is found by halving."""
+    nth = f"aggregate(sequence(30, 0, -1), 0, (lo, s) -> if(get(b{kind}, lo + shiftleft(1, s) - 1).begin < x.stop, lo + shiftleft(1, s), lo))"
+    return f"(size(b{kind}) = 0 or coalesce(get(b{kind}, {nth} - 1).stop <= x.begin, true))"
+
+
+def _with_candidates(rows: DataFrame) -> DataFrame:
+    """Adds base and extra to rows, which have text: arrays of candidates by pattern and place; extra ones touch no base span."""
+    rows = rows.withColumns({f"b{p.kind}": F.expr(_candidates(p, i)) for i, p in enumerate(PATTERNS) if p.base} | {"extra": F.concat(*[F.expr(_candidates(p, i)) for i, p in enumerate(PATTERNS) if not p.base])})
+    free = f"filter(extra, x -> {' and '.join(map(_clear, range(BASE_KINDS)))})"
+    kinds = [f"b{k}" for k in range(BASE_KINDS)]
+    return rows.withColumns({"base": F.concat(*kinds), "extra": F.expr(free)}).drop(*kinds)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base, extra): arrays of candidates by kind and place; extra ones touch no base span."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    base = F.concat(*[F.expr(_candidates(p, i)) for i, p in enumerate(PATTERNS) if p.base])
-    extra = F.concat(*[F.expr(_candidates(p, i)) for i, p in enumerate(PATTERNS) if not p.base])
-    free = "filter(extra, x -> not exists(base, b -> b.begin < x.stop and x.begin < b.stop))"
-    return rows.select("id", base.alias("base"), extra.alias("extra")).select("id", "base", F.expr(free).alias("extra"))
+    """(id, base, extra): arrays of candidates by pattern and place; extra ones touch no base span."""
+    return _with_candidates(docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))).drop("text")
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 30) -> tuple[list[float], list[dict[int, tuple[float, float]]]]:
@@ -225,37 +258,61 @@ def _written(array: str) -> Column:
     return F.expr(f"array_join(transform({array}, s -> concat(array({kinds})[s.k], ':', s.begin, ':', s.stop)), ',')")
 
 
+def _spans(weights: dict[tuple[str, int], float]) -> str:
+    """SQL: array of base spans and accepted extra ones."""
+    return f"transform(concat(base, filter(extra, x -> {accepted(weights)})), x -> named_struct('k', x.k, 'begin', x.begin, 'stop', x.stop))"
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base, spans, all_spans) for each row of docs.
 
     base and spans write the base spans and all spans as kind:start:end by kind, then start; code
-    points, end exclusive. all_spans holds the latter as structs. Null and empty texts have none.
-    Repeated rows get equal values; ids may be null. An empty table gives an empty one. Other
-    columns aren't read.
+    points, end exclusive. all_spans holds the latter as structs. Null and empty texts have none;
+    a very long text is searched whole, in time in proportion to its length. Repeated rows get
+    equal values; ids may be null. An empty table gives an empty one. Other columns aren't read.
     """
     found = common.checkpoint(candidates(docs, id_col, text_col))
-    kept = f"filter(extra, x -> {accepted(train(found))})"
-    both = f"array_sort(transform(concat(base, {kept}), x -> named_struct('k', x.k, 'begin', x.begin, 'stop', x.stop)))"
-    counts = [F.expr(f"cast(size(filter(base, x -> x.k = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    both = f"array_sort({_spans(train(found))})"
+    counts = [F.expr(f"cast(size(filter(base, x -> x.k = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS[:BASE_KINDS])]
     return found.select("id", *counts, _written("base").alias("base"), F.expr(both).alias("all_spans")).withColumn("spans", _written("all_spans"))
 
 
-def _masked(p: Pattern, number: int, weights: dict[tuple[str, int], float]) -> str:
-    """SQL: text with the accepted matches of a pattern replaced by the kind in brackets."""
-    parts = f"named_struct('p', split(text, r'{p.regex}', -1), 'm', regexp_extract_all(text, r'{p.regex}', 0))"
-    holds = p.valid if p.base else f"{p.valid} and {_let(f'named_struct({_features(p, number, "z.p[i]", "z.p[i + 1]")})', 'x', accepted(weights))}"
-    body = f"array_join(transform(z.p, (b, i) -> if(i >= size(z.m), b, concat(b, {_let('z.m[i]', 'm', f"if({holds}, '[{KINDS[p.kind].upper()}]', m)")}))), '')"
-    return f"if({p.guard}, {_let(parts, 'z', body)}, text)"
+def _largest(array: str) -> str:
+    """Running maxima of an array of longs, each of what stands before; in chunks, as _running."""
+    step = lambda xs, tag, start: f"aggregate({xs}, array({start}), (a{tag}, v{tag}) -> array_append(a{tag}, greatest(element_at(a{tag}, -1), v{tag})))"
+    chunks = f"transform(sequence(0, greatest(0, size(xs) - 1) div {CHUNK}), c -> {step(f'slice(xs, c * {CHUNK} + 1, {CHUNK})', '1', '0L')})"
+    ends = step("transform(cs, t -> element_at(t, -1))", "2", "0L")
+    whole = "flatten(transform(cs, (g, i) -> transform(slice(g, 1, size(g) - 1), y -> greatest(y, es[i]))))"
+    return _let(array, "xs", _let(chunks, "cs", _let(ends, "es", f"array_append({whole}, element_at(es, -1))")))
+
+
+def _cut(begin: str, stop: str) -> str:
+    """SQL: code points of the pieces cs from begin to stop."""
+    first, last = f"int(a div {PIECE})", f"int((b - 1) div {PIECE})"
+    one = f"substr(cs[{first}], int(a % {PIECE}) + 1, int(b - a))"
+    more = f"concat(substr(cs[{first}], int(a % {PIECE}) + 1), array_join(slice(cs, {first} + 2, {last} - {first} - 1), ''), substr(cs[{last}], 1, int((b - 1) % {PIECE}) + 1))"
+    return _let(begin, "a", _let(stop, "b", f"case when b <= a then '' when {first} = {last} then {one} else {more} end"))
+
+
+def masked() -> str:
+    """SQL: text with its spans (structs begin, k, stop, in order) replaced by the kind in brackets; spans that touch share the first one's mark."""
+    kinds = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
+    parts = f"transform(spans, (x, i) -> if(x.begin < rs[i], '', concat({_cut('rs[i]', 'x.begin')}, array({kinds})[x.k])))"
+    whole = f"concat(array_join({parts}, ''), {_cut('element_at(rs, -1)', 'cast(length(text) as bigint)')})"
+    pieces = f"regexp_extract_all(text, r'(?s).{{1,{PIECE}}}', 0)"
+    return f"if(size(spans) = 0, text, {_let(pieces, 'cs', _let(_largest('transform(spans, x -> x.stop)'), 'rs', whole))})"
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with personal data in the texts replaced by [EMAIL], [IP], [CARD] or [PHONE]; all columns stay.
+    """docs with the spans that find gives replaced by [EMAIL], [IP], [CARD], [PHONE] or [SECRET]; all columns stay, in order.
 
-    Patterns apply one after the other, in the order of PATTERNS but phones before cards, whose digits they may share.
+    Spans that overlap give one mark, that of the first. Null texts stay null, empty ones empty;
+    very long texts are masked whole. Ids aren't read; repeated rows stay repeated; an empty table
+    gives an empty one. Columns may have any names.
     """
-    weights = train(candidates(docs, id_col, text_col))
     names = docs.columns
-    rows = docs.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(names)], F.col(text_col).alias("text"))
-    for i in (0, 1, 3, 2, 4, 5):
-        rows = rows.withColumn("text", F.expr(_masked(PATTERNS[i], i, weights)))
+    kept = [F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(names) if c != text_col]
+    rows = common.checkpoint(_with_candidates(docs.select(*kept, F.col(f"`{text_col}`").alias("text"))))
+    spans = f"array_sort(transform({_spans(train(rows))}, x -> named_struct('begin', x.begin, 'k', x.k, 'stop', x.stop)))"
+    rows = rows.withColumn("spans", F.expr(spans)).withColumn("text", F.expr(masked()))
     return rows.select(*[F.col("text" if c == text_col else f"c_{i}").alias(c) for i, c in enumerate(names)])
