@@ -47,5 +47,12 @@ def test_odd_rows(spark):
 
 def test_unknown_references_stay(spark):
     pages = spark.createDataFrame([(1, '<img src="sha256:00">'), (2, '<img src="x.png">')], "page_id long, html string")
-    features = media.describe(media.store(spark.createDataFrame([(bytearray(192),)], "payload binary")))
+    features = media.describe(media.store(spark.createDataFrame([(bytearray(192),)], "payload binary"))[0])
     assert [r.payload_sha256 for r in media.resolve(media.sequences(pages), features).collect()] == [None, None]
+
+
+def test_store_keeps_each_payload_once(spark):
+    rows = [(bytearray(192),), (bytearray(192),), (bytearray(384),), (None,)]
+    stored, path = media.store(spark.createDataFrame(rows, "payload binary"))
+    assert sorted(len(r.media) for r in stored.collect()) == [len(b"P5\n192 1\n255\n") + 192, len(b"P5\n192 2\n255\n") + 384]
+    media.common.removed(spark, path)

@@ -43,11 +43,11 @@ def log_ratio(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts = np.bincount(hashed(t).astype(np.int64), minlength=BUCKETS)
-                raw += counts
-                if i in held.value:
-                    target += counts
+            found = [hashed(t).astype(np.int64) for t in b.column(1).to_pylist()]
+            own = [h for i, h in zip(b.column(0).to_pylist(), found, strict=True) if i in held.value]
+            for parts, sums in ((found, raw), (own, target)):
+                if parts:
+                    sums += np.bincount(np.concatenate(parts), minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(raw), pa.array(target)], ["bucket", "raw", "target"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -81,20 +81,20 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
 def resample(docs: DataFrame, target_ids: DataFrame, fraction: float = FRACTION, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, log_weight, gumbel, selected) for each row of docs. target_ids: (id).
 
-    The rows with the largest gumbel, about ``fraction`` of all, are selected; rows that tie with
-    the last are selected too. Null and empty texts weigh as much as the average n-gram, log 0.
-    Repeated rows get equal values; null ids share one noise. An empty table gives an empty one.
-    Other columns aren't read.
+    The rows with the largest gumbel, ``fraction`` of all, are selected. The noise is a hash of id
+    and text, so only rows equal in both tie; those that tie with the last are selected too. Null
+    and empty texts have weight 1, log 0. Very long texts are counted whole. Ids may be null. An
+    empty table gives an empty one. Other columns aren't read.
     """
     held = docs.sparkSession.sparkContext.broadcast(log_ratio(docs, target_ids, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            weights = [float(held.value[hashed(t).astype(np.int64)].sum()) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weights, pa.float64())], ["id", "log_weight"])
+            weights = [float(held.value[hashed(t).astype(np.int64)].sum()) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(weights, pa.float64())], ["id", "h", "log_weight"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    u = (F.shiftrightunsigned(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
-    noisy = common.checkpoint(common.map_texts(rows, run, f"id {common.type_of(docs, id_col)}, log_weight double").withColumn("gumbel", F.col("log_weight") - F.log(-F.log(u))))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), text_col, F.lit(seed)).alias("h"), F.col(text_col).alias("text"))
+    u = (F.shiftrightunsigned("h", 12).cast("double") + 0.5) / float(1 << 52)
+    noisy = common.checkpoint(common.map_texts(rows, run, f"id {common.type_of(docs, id_col)}, h long, log_weight double").select("id", "log_weight", (F.col("log_weight") - F.log(-F.log(u))).alias("gumbel")))
     threshold = kth_largest(noisy, "gumbel", math.ceil(fraction * noisy.count()))
     return noisy.withColumn("selected", F.col("gumbel") >= F.lit(float(threshold)))

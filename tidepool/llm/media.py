@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -84,7 +83,11 @@ def parse(source: str | None) -> list[dict]:
 
 
 def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, segments) for each row of pages; null and empty pages have none."""
+    """(id, segments) for each row of pages; null and empty pages have none.
+
+    Very long pages are parsed whole, in one pass. Repeated rows give repeated rows, ids may be
+    null, an empty table gives an empty one, and other columns aren't read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
@@ -101,14 +104,14 @@ def payload(text_col: str = "text"):
     return F.concat(raw, F.repeat(F.lit(" "), fill).cast("binary"))
 
 
-def store(df: DataFrame, payload_col: str = "payload") -> DataFrame:
-    """Write (digest, media) of each payload to the shared folder, and read it back. Payload lengths are multiples of WIDTH."""
-    context = df.sparkSession.sparkContext
-    common.checkpoint(df.sparkSession.range(0))  # sets the folder where none is set
-    folder = f"{context.getCheckpointDir()}/media-{uuid.uuid4().hex}"
+def store(df: DataFrame, payload_col: str = "payload") -> tuple[DataFrame, str]:
+    """(digest, media), one row for each distinct payload, written to the shared folder and read back; and where.
+
+    Payload lengths are multiples of WIDTH, null payloads aren't stored. The table is the caller's to remove.
+    """
     header = F.concat(F.lit(f"P5\n{WIDTH} "), F.expr(f"octet_length({payload_col}) div {WIDTH}").cast("string"), F.lit("\n255\n")).cast("binary")
-    df.select(F.sha2(payload_col, 256).alias("digest"), F.concat(header, F.col(payload_col)).alias("media")).write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    rows = df.where(F.col(payload_col).isNotNull()).select(F.sha2(payload_col, 256).alias("digest"), F.concat(header, F.col(payload_col)).alias("media"))
+    return common.written(common.once(rows, ["digest"]), "media")
 
 
 def samples(media: bytes) -> np.ndarray:
@@ -119,7 +122,7 @@ def samples(media: bytes) -> np.ndarray:
 
 
 def describe(stored: DataFrame) -> DataFrame:
-    """FEATURES of each distinct digest, computed from the stored bytes."""
+    """FEATURES of each row of store(), computed from the stored bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,17 +138,18 @@ def describe(stored: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in FEATURES.split(", ")])
 
-    found = common.map_texts(stored.select("digest", "media"), run, FEATURES)
-    return found.groupBy("digest").agg(*[F.first(c).alias(c) for c in found.columns if c != "digest"])
+    return common.map_texts(stored.select("digest", "media"), run, FEATURES)
 
 
 def resolve(found: DataFrame, features: DataFrame) -> DataFrame:
     """(id, position, caption, digest, features) for each media segment of sequences(); unknown digests have null features.
 
-    The features are written first, so that Spark can split the partition of a digest that many documents share.
+    Of the features, one row for each digest, a checkpoint lets Spark split the partition of a
+    digest that many documents share. A page that refers to a digest twice has a row for each
+    place; empty tables give none.
     """
     refs = found.select("id", F.explode("segments").alias("s")).where("s.kind = 'media'").select("id", "s.position", "s.caption", F.expr(f"if(startswith(s.ref, '{SCHEME}'), substr(s.ref, {len(SCHEME) + 1}), null)").alias("digest"))
-    return refs.join(common.checkpoint(features), "digest", "left")
+    return refs.join(features, "digest", "left")
 
 
 def page_of(text: str | None, digest: str) -> str:
@@ -165,7 +169,9 @@ def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an empty one. Other columns aren't read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("payload", payload())
-    features = describe(store(rows.select("payload")))
+    stored, path = store(rows.select("payload"))
+    features = common.checkpoint(describe(stored))
+    common.removed(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -173,7 +173,6 @@ def edges(nodes: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Dat
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["u", "v"])
 
     lists = cut.select("fp", "c", "k", "i", "j").repartition("c", "k", "i", "j").sortWithinPartitions("c", "k", "i", "j")
-    nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     return lists.mapInArrow(run, "u long, v long").distinct()
 
 
