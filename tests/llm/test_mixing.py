@@ -65,3 +65,19 @@ def test_odd_rows(spark):
     assert all(0 <= r.taken <= 3 * r.size for r in got)
     assert {r.target for r in got if r.source is None} == {9.0}
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_ends_by_narrowing(spark):
+    rows = [(False, "a", i, i % 97, 1 + i % 5, ((i * 7919) % 1000 + 1) / 100) for i in range(1500)] + [(True, "", None, i % 40, 3, 0.5) for i in range(400)] + [(False, "b", 1, 1, 0, 1.0)]
+    df = spark.createDataFrame(rows, "none boolean, name string, id long, tie long, size long, key double")
+    for budget in (1, 700, 1199):
+        left = spark.createDataFrame([(False, "a", budget), (True, "", budget), (False, "b", 0)], "none boolean, name string, left long")
+        got = {r.name: r for r in mixing.ends(df, left, 10).collect()}
+        assert got.keys() == {"a", ""}
+        for none, name in ((False, "a"), (True, "")):
+            own, total = sorted((k, -1 if i is None else i, t, s) for n, m, i, t, s, k in rows if (n, m) == (none, name)), 0
+            at = next(j for j in range(len(own)) if sum(x[3] for x in own[: j + 1]) > budget)
+            first = next(j for j, x in enumerate(own) if x[:3] == own[at][:3])
+            total = sum(x[3] for x in own[:first])
+            r = got[name]
+            assert (r.k, -1 if r.i is None else r.i, r.t, r.rest, r.copies) == (*own[at][:3], budget - total, sum(x[:3] == own[at][:3] for x in own))

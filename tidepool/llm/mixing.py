@@ -6,9 +6,11 @@ document gets the key ``-ln(u) / q`` with u from a hash of its id and q its qual
 documents of a source are sorted by key, and sizes are summed until the budget is used up. The
 document on which it ends gives its first words only.
 
-The order within a source is cut into ranges of the key, ``STEPS`` for each doubling, of which none
-has more than about 1/170 of a source's documents whatever their weights. The prefix sum of a source
-is a sum over ranges and a sum within one range, so no task sorts a whole source.
+A source's budget ends at one place in its order. It is found by narrowing: sizes are summed over
+ranges of the key, ``STEPS`` for each doubling, and prefix sums of these name the range on which the
+budget ends; that range alone is cut again, until at most ``SORTED`` documents are left to sort. So
+no task sorts a source or a fixed share of one, and texts aren't moved: each row compares its own
+key with the place where its source ends.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ common.shipped(__name__)
 
 #: Weights of the sources in their order, repeating; most epochs; ranges of a doubling of the key.
 WEIGHTS, MOST, STEPS = (1, 2, 3), 3, 64
+#: Documents of a source that are sorted in one task at most; cells of a range that is cut again; sources whose ends are broadcast at most.
+SORTED, CELLS, BROADCAST_SOURCES = 1 << 17, 1024, 1 << 16
 #: Signs that lower a text's quality weight.
 SIGNS = "#$%&*@|<>{}[]^~_=+\\/!"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -72,19 +76,63 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     )
 
 
+def hinted(sources: DataFrame) -> DataFrame:
+    """To be broadcast, if there are few. sources: checkpointed, one row for each source."""
+    return F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
+
+
+def ends(rows: DataFrame, left: DataFrame, sorted_rows: int = SORTED) -> DataFrame:
+    """(none, name, k, i, t, rest, copies): where each source's budget ends, in the order of key, id and tie.
+
+    rows: (none, name, id, tie, size, key); left: (none, name, left), words that the budget has.
+    copies rows, equal in the three, share the last rest words. Sources of size 0 have no end.
+    """
+    source = ["none", "name"]
+    up_to = Window.partitionBy(*source).orderBy("cell")
+
+    def crossed(cells: DataFrame) -> DataFrame:
+        """(none, name, cell, left): the cell of each source on which its budget ends, and what is left there. cells: (none, name, cell, n, left)."""
+        after = F.sum("n").over(up_to)
+        reached = cells.withColumn("after", after).where("after > left")
+        first = reached.groupBy(*source).agg(F.min_by(F.struct("cell", (F.col("left") - F.col("after") + F.col("n")).alias("left")), "cell").alias("x"))
+        return common.checkpoint(first.select(*source, "x.*"))
+
+    bucket = F.greatest(F.lit(-16 * STEPS), F.floor(F.log2("key") * STEPS)).cast("int")
+    now = rows.where("size > 0").withColumn("cell", bucket)
+    for column in ("key", "tie"):
+        while True:
+            cells = now.groupBy(*source, "cell").agg(F.sum("size").alias("n"))
+            end = crossed(cells.join(left, source))
+            now = common.checkpoint(now.join(hinted(end), [*source, "cell"]).drop("cell", "left"))
+            left = end.select(*source, "left")
+            spread = common.checkpoint(now.groupBy(*source).agg(F.min(column).cast("double").alias("low"), F.max(column).cast("double").alias("high"), F.count("*").alias("m")))
+            now = now.join(hinted(spread), source)
+            place = F.floor((F.col(column).cast("double") - F.col("low")) / (F.col("high") - F.col("low")) * CELLS)
+            now = now.withColumn("cell", F.when((F.col("m") > sorted_rows) & (F.col("high") > F.col("low")), F.least(F.lit(CELLS - 1), place)).otherwise(0).cast("int")).drop("low", "high", "m")
+            if spread.where(F.col("m") > sorted_rows).where("high > low").isEmpty():
+                break
+    # Rows equal in all are one here, so what is sorted is bounded by the different ones.
+    equal = now.groupBy(*source, "key", "id", "tie").agg(F.sum("size").alias("n"), F.count("*").alias("copies"))
+    order = Window.partitionBy(*source).orderBy("key", "id", "tie")
+    reached = equal.withColumn("after", F.sum("n").over(order)).join(left, source).where("after > left")
+    place = F.struct("key", "id", "tie")
+    last = reached.groupBy(*source).agg(F.min_by(F.struct(F.col("key").alias("k"), F.col("id").alias("i"), F.col("tie").alias("t"), (F.col("left") - F.col("after") + F.col("n")).alias("rest"), "copies"), place).alias("x"))
+    return last.select(*source, "x.*")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix:") -> DataFrame:
     """The rows of docs with size, source_size, target and taken (words the mix takes, repeats counted).
 
     Null texts have size 0 and take nothing; documents without a source are one source, the last.
-    Ties of keys fall by id, then by a hash of the text; equal rows may take different shares. A
-    column of docs with one of the four names is replaced. Reruns agree. An empty table gives an
-    empty one.
+    Very long texts count whole, and one on which a budget ends gives its first words. Ties of keys
+    fall by id, then by a hash of the text; rows equal in all three share alike. A column of docs
+    with one of the four names is replaced. Reruns agree. An empty table gives an empty one.
     """
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     text, digest = F.col(text_col), F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     rows = docs.select(
-        *[F.col(c).alias(f"c_{i}") for i, c in enumerate(names)],
+        *[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(names)],
         F.col(id_col).alias("id"),
         F.col(source_col).isNull().alias("none"),
         F.coalesce(source_col, F.lit("")).alias("name"),
@@ -93,17 +141,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.xxhash64(text).alias("tie"),
         (-F.log(u)).alias("e"),
     ).withColumn("key", F.col("e") / F.col("q"))
-    bucket = F.greatest(F.lit(-16 * STEPS), F.floor(F.log2("key") * STEPS)).cast("int")
-    placed = rows.withColumn("b", bucket).drop("e", "q")
-    ranges = common.checkpoint(placed.groupBy("none", "name", "b").agg(F.sum("size").alias("n")))
-    shares = common.checkpoint(targets(ranges.groupBy("none", "name").agg(F.sum("n").alias("size")), weights, most).withColumnRenamed("size", "source_size"))
-    before = F.sum("n").over(Window.partitionBy("none", "name").orderBy("b")) - F.col("n")
-    ranges = common.checkpoint(ranges.select("none", "name", "b", before.alias("before")).join(shares, ["none", "name"]))
-    within = F.sum("size").over(Window.partitionBy("none", "name", "b").orderBy("key", "id", "tie").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    epochs = F.expr("coalesce(num div nullif(den * source_size, 0), 0)")
-    left = F.expr("num div den") - F.col("epochs") * F.col("source_size") - F.col("before") - F.col("within")
-    taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    out = placed.join(ranges, ["none", "name", "b"]).withColumns({"within": within, "epochs": epochs})
+    narrow = common.checkpoint(rows.select("none", "name", "id", "tie", "size", "key"))
+    shares = common.checkpoint(targets(narrow.groupBy("none", "name").agg(F.sum("size").alias("size")), weights, most).withColumnRenamed("size", "source_size"))
+    shares = shares.withColumn("epochs", F.expr("coalesce(num div nullif(den * source_size, 0), 0)")).withColumn("left", F.expr("num div den") - F.col("epochs") * F.col("source_size"))
+    found = common.checkpoint(shares.join(ends(narrow, shares.select("none", "name", "left")), ["none", "name"], "left"))
+    here, end = F.struct("key", "id", "tie"), F.struct("k", "i", "t")
+    part = F.when(F.col("copies").isNull(), 0).when(here < end, F.col("size")).when(here == end, F.least("size", F.expr("rest div copies"))).otherwise(0)
+    taken = F.col("epochs") * F.col("size") + part
+    out = rows.join(hinted(found), ["none", "name"])
     return out.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(names)], "size", "source_size", (F.col("num").cast("double") / F.col("den").cast("double")).alias("target"), taken.cast("long").alias("taken"))
 
 

@@ -216,18 +216,20 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """The rows of df without those whose component has a smaller id. All columns stay.
 
     Of rows that share id and text one stays, whichever; rows that share an id but not the text
-    stay or go by that id. Rows without an id stay.
+    stay or go by that id. Rows without an id stay. Null and empty texts are copies of each other.
+    Very long texts count whole, an empty table gives an empty one, and columns may have any names.
     """
     return without_copies(df, near_duplicates(df, id_col, text_col, shingle, max_bits), id_col, text_col)
 
 
 def without_copies(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of df that stay. found: (id, component) of each row."""
+    names = df.columns
+    rows = df.select(*[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(names)], F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_col).alias("h"))
     found = common.checkpoint(found)
-    away = common.checkpoint(found.where(F.col("component") < F.col("id")).select(F.col("id").alias("__id")).distinct())
-    kept = df.join(away, F.col(id_col) == F.col("__id"), "left_anti")
-    twice = common.checkpoint(found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("__id")))
-    if twice.isEmpty():
-        return kept
-    repeats = F.col(id_col) == F.col("__id")
-    return kept.join(twice, repeats, "left_anti").union(kept.join(twice, repeats, "left_semi").dropDuplicates([id_col, text_col]))
+    away = common.checkpoint(found.where(F.col("component") < F.col("id")).select("id").distinct())
+    kept = rows.join(away, "id", "left_anti")
+    twice = common.checkpoint(found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select("id"))
+    if not twice.isEmpty():
+        kept = kept.join(twice, "id", "left_anti").unionByName(kept.join(twice, "id", "left_semi").dropDuplicates(["id", "h"]))
+    return kept.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(names)])
