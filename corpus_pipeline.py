@@ -55,7 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The rows that the last stage returns. Each stage runs once: what it returns is a Parquet table in the shared folder, removed when the next one is written; the last stage's input stays."""
+    docs, path = common.table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs, now = common.written(stage(spark, docs, sf_dir), name)
+        if path is not None:
+            common.removed(spark, path)
+        path = now
+    return STAGES[-1][1](spark, docs, sf_dir)
