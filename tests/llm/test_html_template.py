@@ -62,13 +62,73 @@ def test_odd_rows(spark):
 
 
 def test_equal_vectors_form_a_template(spark):
-    rows = [(i, "http://t.example/", page(f"<div class=a><p>Always here</p></div><div class=b><p>Page {i} only</p></div>")) for i in range(5)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    (r,) = h.templates(df).collect()
-    roles = dict(zip(r.tokens, r.roles, strict=True))
-    blocks = h.Page(rows[0][2]).blocks
-    assert roles[h.block_token(blocks[0][0], "Always here")] == 2
-    assert h.block_token(blocks[1][0], "Page 0 only") not in roles
+    rows = [(f"http://t.example/{i}", page(f"<div class=a><p>Always here</p></div><div class=b><p>Page {i} only</p></div>")) for i in range(5)]
+    (r,) = h.templates(spark.createDataFrame(rows, "url string, html string")).collect()
+    roles = dict(zip(r.tokens, r["values"], strict=True))
+    p = h.Page(rows[0][1])
+    assert roles == {h.block_token(p.token[p.blocks[0][0]], "Always here"): 2, p.token[p.parent[p.blocks[1][0]]]: 3}
+
+
+def test_classes_against_vectors(spark):
+    """Sums tell the same vectors apart as vectors held whole."""
+    rows = [("http://v.example/", page("".join(f"<div class=c{j}><p>{j}</p></div>" * (1 + (i * j) % 3) for j in range(1 + i % 4, 7)), f"<p>{i}</p>")) for i in range(12)]
+    (r,) = h.classes_of(spark.createDataFrame(rows, "url string, html string")).collect()
+    counts = [h.Page(s).tokens() for _, s in rows]
+    vectors = {t: tuple(c[t] for c in counts) for t in set().union(*counts)}
+    vectors = {t: v for t, v in vectors.items() if sum(map(bool, v)) >= max(h.LEAST_PAGES, h.SUPPORT * len(rows))}
+    assert dict(zip(r.tokens, zip(r.pages, r.total, strict=True), strict=True)) == {t: (sum(map(bool, v)), sum(v)) for t, v in vectors.items()}
+    classes = dict(zip(r.tokens, r["values"], strict=True))
+    assert all((vectors[a] == vectors[b]) == (classes[a] == classes[b]) for a in vectors for b in vectors)
+
+
+def test_order_and_nesting():
+    order, crossed = h.spans_of([(1, 1, 7, 10), (2, 2, 7, 11), (3, 3, 7, 10), (4, 4, 7, 11)])
+    assert order[7] >= 0 and not crossed
+    order, _ = h.spans_of([(1, 1, 7, 10), (2, 2, 7, 11), (3, 3, 7, 11), (4, 4, 7, 10)])
+    assert order[7] == -1
+    _, crossed = h.spans_of([(1, 1, 7, 10), (2, 2, 8, 20), (3, 3, 7, 11), (4, 4, 7, 12), (5, 5, 8, 21)])
+    assert crossed == {8}
+    _, crossed = h.spans_of([(1, 9, 7, 10), (2, 4, 8, 20), (5, 6, 8, 21)])
+    assert not crossed
+    # Tokens that change places on one page of the host are no class.
+    bodies = ["<div class=a>A</div><div class=b>B</div>"] * 4 + ["<div class=b>B</div><div class=a>A</div>"]
+    pages = [h.Page(page(b)) for b in bodies]
+    classes = {t: 1 for t in pages[0].tokens()}
+    assert len({p.layout(classes)[p.token[-1]][0] for p in pages}) == 2
+
+
+def test_template_against_misleading_names(spark):
+    """No semantic element, and class names that say the contrary: content decides."""
+    story = lambda i: f"<p>Report {i} says at length what nobody else has said about {i * 31} of them.<p>It goes on, {i} times, and ends well for all {i * 17}."
+    rows = [
+        (i, f"http://w.example/{i}", page(f"<div class=main>Offer {i} of the day</div><div class=article><a href=/1>One</a> <a href=/2>Two</a></div><div class=z9><div class=q>{story(i)}</div></div><div class=content>Set on day {i}</div>"))
+        for i in range(8)
+    ]
+    got = h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.by_template for r in got)
+    assert {r.id: r.text for r in got} == {i: f"Report {i} says at length what nobody else has said about {i * 31} of them.\nIt goes on, {i} times, and ends well for all {i * 17}." for i in range(8)}
+
+
+def test_names_of_a_single_page_keep_its_text(spark):
+    body = '<article><p>One</p><div class="related work"><p>Two</p></div><section id="notice-of-1850"><p>Three</p></section><div class="ad">Buy</div></article>'
+    lone = "<p><a href=/>A linked headline line</a></p><p>Text</p><ul><li><a>A</a><li><a>B</a><li><a>C</a></ul>"
+    deep = "<div>" * 520 + "<script>var x=1;</script><nav>MENU</nav><p>Body"
+    rows = [(1, "http://1.example/", page(body)), (2, "http://2.example/", page(lone)), (3, "http://3.example/", page(deep))]
+    got = {r.id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "One\nTwo\nThree", 2: "A linked headline line\nText", 3: "Body"}
+
+
+def test_hot_host_is_dealt(spark):
+    rows = [(i, f"http://h.example/{i}", page(f"<div class=x><p>Words of page {i} and more of {i * 3}</p></div><div>Foot</div>")) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, url string, html string").select("url", "html", "id")
+    found = h.templates(df.select("url", "html")).checkpoint()
+
+    def work(batches):
+        for b, _, known in batches:
+            yield h.pa.RecordBatch.from_arrays([b.column(2), h.pa.array([h.Page(s).text(t)[0] for s, t in zip(b.column(1).to_pylist(), known, strict=True)])], ["id", "text"])
+
+    a, b = (sorted(map(tuple, h.templated(df, found, work, "id long, text string", limit, 7).collect())) for limit in (1 << 20, 0))
+    assert a == b == [(i, f"Words of page {i} and more of {i * 3}") for i in range(40)]
 
 
 def test_copies_of_a_page_are_no_template(spark):
