@@ -44,27 +44,29 @@ def plain_ppm(texts, order):
     return score
 
 
-def test_ppm_against_symbol_by_symbol(spark):
-    learned = ["the cat sat", "the cart sat", "", "übel", None, "aaaa\nbbbb"]
-    docs = spark.createDataFrame(list(enumerate(learned)), "doc_id long, text string")
-    model = lm.train(docs)
-    score = plain_ppm(learned, lm.ORDER)
+@pytest.mark.parametrize("contexts", [16384, 40, 1])
+def test_ppm_against_symbol_by_symbol(spark, monkeypatch, contexts):
+    monkeypatch.setattr(lm, "CONTEXTS", contexts)
+    learned = ["the cat sat", "the cart sat", "", "übel", None, "aaaa\nbbbb", "the cat sat"]
     texts = [*learned, "the cab", "zz\x00", "ü", "cat " * 300]
-    assert np.allclose(model.score(texts), [score(t) for t in texts], rtol=1e-5)
-    assert np.allclose(np.exp(model.logp.astype(float)).sum(axis=1), 1, atol=1e-4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = plain_ppm(learned, lm.ORDER)
+    got = {r.id: r.score for r in lm.scores(docs, common.F.col("id") < len(learned)).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], [score(t) for t in texts], rtol=1e-5)
 
 
-def test_pruned_contexts_stay_a_distribution(spark, monkeypatch):
+def test_table_of_contexts_is_a_distribution(spark, monkeypatch):
     monkeypatch.setattr(lm, "CONTEXTS", 20)
     docs = spark.createDataFrame([(1, "abracadabra alakazam"), (2, "abra kadabra")], "doc_id long, text string")
-    model = lm.train(docs)
+    model = lm.train(lm.pairs_of(docs))
     assert len(model.logp) == 20
     assert np.allclose(np.exp(model.logp.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
-@pytest.mark.parametrize("frequent", [1 << 18, 40])
-def test_query_against_brute_force(spark, sf, monkeypatch, frequent):
+@pytest.mark.parametrize(("frequent", "contexts"), [(1 << 18, 16384), (40, 300)])
+def test_query_against_brute_force(spark, sf, monkeypatch, frequent, contexts):
     monkeypatch.setattr(lm, "FREQUENT", frequent)
+    monkeypatch.setattr(lm, "CONTEXTS", contexts)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     out = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in docs}
     c = Counter()
@@ -79,17 +81,19 @@ def test_query_against_brute_force(spark, sf, monkeypatch, frequent):
         got = rows[r.doc_id]
         assert (got.held_out, got.n_tokens, got.n_known, got.train_tokens) == (out[r.doc_id], len(tokens), sum(c[t] > 0 for t in tokens), n)
         assert math.isclose(got.base_score, sum(math.log10((c[t] + 1) / (n + v + 1)) for t in tokens), rel_tol=1e-9)
-        assert got.score < 0
+    score = plain_ppm([r.text for r in docs if not out[r.doc_id]], lm.ORDER)
+    for r in sorted(docs, key=lambda r: len(r.text or ""))[:150]:
+        assert math.isclose(rows[r.doc_id].score, score(r.text), rel_tol=1e-5)
     held = [r for r in docs if out[r.doc_id]]
     bits = -sum(rows[r.doc_id].score for r in held) * math.log2(10) / sum(len(r.text.encode()) + 1 for r in held)
     assert bits < 3
 
 
 def test_odd_rows(spark):
-    rows = [(1, None, 1.0), (2, "", 1.0), (None, "a a b", 1.0), (3, "rare", 1.0), (3, "rare", 1.0), (4, "word " * 100_000, 1.0)]
+    rows = [(1, None, 1.0), (2, "", 1.0), (None, "a a b", 1.0), (3, "rare", 1.0), (3, "rare", 1.0), (4, "word " * 100_000, 1.0), (5, "long" * 50 + " x", 1.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score double")
     got = lm.scores(df).collect()
-    assert len(got) == 6
+    assert len(got) == 7 and all(r.score < 0 for r in got)
     assert [r.n_tokens for r in got if r.id == 3] == [2, 2]
     assert {r.n_tokens for r in got if r.id in (1, 2)} == {1}
     nothing = lm.scores(df, ~common.fold("id", 1) & (common.F.col("id") == 99)).collect()

@@ -6,18 +6,22 @@ Escapes are estimated by method C: with ``d`` distinct symbols in ``T`` occurren
 (symbol exclusion); what no context has is uniform. A text's symbols are its UTF-8 bytes and one
 end; before them stand start marks.
 
-The counts of all contexts are gathered over the whole corpus; the model keeps the ``CONTEXTS``
-commonest, which fixes the size of what is broadcast (at most 26 MB). As the kept trie is closed
-under dropping the first or the last byte, scoring is a walk through a table of states, for all
-positions of a batch at once.
+The counts of all contexts are gathered over the whole corpus and all are used. The ``CONTEXTS``
+commonest make up a table of states that is broadcast (at most 26 MB): as they are closed under
+dropping the first or the last byte, scoring is a walk through the table, for all positions of a
+batch at once. A position whose context of ``ORDER`` bytes is in the table has its exact
+probability there. The other positions, a few in a hundred, are counted by document, and their
+probabilities come from the counts of their contexts by a shuffle on the context's last bytes.
+Contexts of up to ``LOW`` bytes, whose number the alphabet bounds, are broadcast for that.
 
 Word statistics for the base score: counts of words over all learned texts. Words at or above a
-count that at most ``FREQUENT`` short words reach are broadcast; the others, of which none is
-frequent, are joined by shuffle.
+count that at most ``FREQUENT`` words reach are broadcast, long ones by a digest; the others, of
+which none is frequent, are joined by shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,12 +34,14 @@ from . import common
 
 common.shipped(__name__)
 
-ORDER, CONTEXTS = 4, 16384
+ORDER, CONTEXTS, LOW = 4, 16384, 2
 #: Symbols 0 to 255 are bytes; the end is predicted, the start isn't.
 END, START, SYMBOLS, BASE = 256, 257, 257, 258
 FREQUENT, FREQUENT_BYTES = 1 << 18, 64
 #: Entries that a task holds before it passes counts on.
 HELD = 1 << 21
+#: Mark of a row of logp, of a learned symbol's row by its order, and of a row that asks.
+ASKED = 9
 
 
 def symbols_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +87,7 @@ class Model:
 
     def __init__(self, counts: dict[tuple[int, int], dict[int, int]]) -> None:
         """counts: by (order, context code), the count of each symbol."""
-        known = sorted(counts, key=lambda x: x)
+        known = sorted(counts)
         if (0, 0) not in counts:
             known = [(0, 0)]
         number = {x: i for i, x in enumerate(known)}
@@ -90,6 +96,8 @@ class Model:
             for s, k in counts.get(x, {}).items():
                 n[i, s] = k
         parents = [number.get((k - 1, c % BASE ** (k - 1)), 0) if k else -1 for k, c in known]
+        #: Whether a state's context has ORDER bytes.
+        self.full = np.array([k == ORDER for k, _ in known])
         self.logp = np.empty((len(known), SYMBOLS), np.float32)
         self.step = np.zeros((len(known), BASE), np.uint16)
         for i in range(len(known)):
@@ -105,41 +113,63 @@ class Model:
 
     @staticmethod
     def _row(i: int, n: np.ndarray, parents: list[int]) -> np.ndarray:
-        p, mass, left = np.zeros(SYMBOLS), 1.0, np.ones(SYMBOLS, bool)
+        chain = []
         while i >= 0:
-            seen = left & (n[i] > 0)
-            d = int(seen.sum())
-            if d:
-                total = n[i][seen].sum()
-                escape = d if d < left.sum() else 0
-                p[seen] = mass * n[i][seen] / (total + escape)
-                mass *= escape / (total + escape)
-                left &= ~seen
+            chain.append(n[i])
             i = parents[i]
-        if left.any():
-            p[left] = mass / left.sum()
-        return np.log(p)
+        return logs_of(chain)
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        """log10 of each text's probability."""
+    def walk(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of each text's probability over the positions whose context of ORDER bytes is a state; of the others: text, code as in grams, count."""
         if not texts:
-            return np.zeros(0)
+            none = np.zeros(0, np.int64)
+            return np.zeros(0), none, none, none
         s, begin = symbols_of(texts)
-        out = np.empty(len(s), np.float64)
+        out = np.zeros(len(s), np.float64)
         flat_step, flat_log = self.step.ravel(), self.logp.ravel()
+        places = []
         for a in range(ORDER, len(s), 1 << 20):
             b = min(len(s), a + (1 << 20))
             state = np.zeros(b - a, np.int64)
             for j in range(ORDER, 0, -1):
                 state = flat_step[state * BASE + s[a - j : b - j]].astype(np.int64)
-            out[a:b] = flat_log[state * SYMBOLS + np.minimum(s[a:b], END)]
+            whole = self.full[state]
+            out[a:b] = np.where(whole, flat_log[state * SYMBOLS + np.minimum(s[a:b], END)], 0)
+            places.append(np.flatnonzero(~whole) + a)
         for j in range(ORDER):
             out[begin + j] = 0
-        return np.add.reduceat(out, begin) / np.log(10)
+        at = np.concatenate(places) if places else np.zeros(0, np.int64)
+        at = at[s[at] != START]
+        code = np.zeros(len(at), np.int64)
+        for j in range(ORDER, -1, -1):
+            code = code * BASE + s[at - j]
+        owner = np.searchsorted(begin, at, "right") - 1
+        order = np.lexsort((code, owner))
+        owner, code = owner[order], code[order]
+        new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])))) if len(at) else np.zeros(0, np.int64)
+        return np.add.reduceat(out, begin) / np.log(10), owner[new], code[new], np.diff(np.append(new, len(at)))
+
+
+def logs_of(chain: list[np.ndarray]) -> np.ndarray:
+    """Natural logarithms of all symbols. chain: counts of each symbol in a context and its shorter ones."""
+    p, mass, left = np.zeros(SYMBOLS), 1.0, np.ones(SYMBOLS, bool)
+    for n in chain:
+        seen = left & (n > 0)
+        d = int(seen.sum())
+        if d:
+            total = n[seen].sum()
+            escape = d if d < left.sum() else 0
+            p[seen] = mass * n[seen] / (total + escape)
+            mass *= escape / (total + escape)
+            left &= ~seen
+    if left.any():
+        p[left] = mass / left.sum()
+    with np.errstate(divide="ignore"):  # the escape of a context that has seen every symbol is never asked for
+        return np.log(p)
 
 
-def train(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """learn: condition on the column id. Null texts count as empty ones."""
+def pairs_of(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(k, ctx, s, n): how often each symbol follows each context, of order k, over the learned rows."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows if learn is None else rows.where(learn)
 
@@ -157,7 +187,11 @@ def train(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
 
     counted = common.map_texts(rows.select("text"), run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     each = [F.struct(F.lit(k).alias("k"), F.expr(f"(code div {BASE}) % {BASE**k}").alias("ctx")) for k in range(ORDER + 1)]
-    pairs = common.checkpoint(counted.select("n", F.expr(f"int(code % {BASE})").alias("s"), F.explode(F.array(*each)).alias("e")).groupBy("e.k", "e.ctx", "s").agg(F.sum("n").alias("n")))
+    return common.checkpoint(counted.select("n", F.expr(f"int(code % {BASE})").alias("s"), F.explode(F.array(*each)).alias("e")).groupBy("e.k", "e.ctx", "s").agg(F.sum("n").alias("n")))
+
+
+def train(pairs: DataFrame) -> Model:
+    """The table of the commonest contexts. pairs: pairs_of()."""
     kept = pairs.groupBy("k", "ctx").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "k", "ctx").limit(CONTEXTS)
     counts: dict[tuple[int, int], dict[int, int]] = {}
     found = pairs.join(F.broadcast(kept.select("k", "ctx")), ["k", "ctx"], "left_semi").toArrow()  # at most CONTEXTS * SYMBOLS rows
@@ -166,6 +200,80 @@ def train(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
     return Model(counts)
 
 
+class Low:
+    """Counts of the contexts of up to LOW bytes, whose number the alphabet bounds: at most BASE**2 contexts of SYMBOLS symbols."""
+
+    def __init__(self, keys: np.ndarray, s: np.ndarray, n: np.ndarray) -> None:
+        """keys: k * BASE**LOW + ctx, ascending."""
+        self.keys, self.s, self.n = keys, s, n
+
+    def chain(self, ctx: int) -> list[np.ndarray]:
+        """Counts of each symbol in the contexts that end ctx, from LOW bytes down."""
+        out = []
+        for k in range(LOW, -1, -1):
+            key = k * BASE**LOW + ctx % BASE**k
+            a, b = np.searchsorted(self.keys, [key, key + 1])
+            row = np.zeros(SYMBOLS)
+            row[self.s[a:b]] = self.n[a:b]
+            out.append(row)
+        return out
+
+
+def rare_logs(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    """(code, logp): log10 of the probability of the last symbol of each code after the others. codes: (code), distinct.
+
+    Contexts and codes meet by the last three bytes of the context, which at most BASE contexts of
+    ORDER bytes share, so a group is bounded by the alphabet.
+    """
+    low = pairs.where(f"k <= {LOW}").selectExpr(f"k * {BASE**LOW}L + ctx AS key", "s", "n").toArrow().sort_by("key")
+    low_arrays = [low.column(x).to_numpy() for x in ("key", "s", "n")]
+    held = codes.sparkSession.sparkContext.broadcast((low_arrays[0], low_arrays[1].astype(np.int16), low_arrays[2]))
+    high = pairs.where(f"k > {LOW}").selectExpr(f"ctx % {BASE**3}L AS g", "k", f"int(ctx div {BASE**3}L) AS c", "s", "n")
+    asked = codes.selectExpr(f"(code div {BASE}) % {BASE**3}L AS g", f"{ASKED} AS k", f"int(code div {BASE**4}L) AS c", f"int(code % {BASE}) AS s", "0L AS n")
+    rows = high.join(asked.select("g").distinct(), "g", "left_semi").unionByName(asked).repartition("g").sortWithinPartitions("g", "k", "c")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lower, rest = Low(*held.value), None
+        for b in batches:
+            now = [b.column(i).to_numpy() for i in range(5)]
+            now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
+            if not len(now[0]):
+                continue
+            cut = int(np.searchsorted(now[0], now[0][-1])) if (now[0][1:] >= now[0][:-1]).all() else 0
+            if cut == 0:  # one group as yet, or a new partition's rows after another's
+                cut = int(np.flatnonzero(now[0][1:] != now[0][:-1])[-1]) + 1 if (now[0][1:] != now[0][:-1]).any() else 0
+            rest = [x[cut:] for x in now]
+            if cut:
+                yield groups([x[:cut] for x in now], lower)
+        if rest is not None and len(rest[0]):
+            yield groups(rest, lower)
+
+    def groups(columns: list[np.ndarray], lower: Low) -> pa.RecordBatch:
+        g = columns[0]
+        edges = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
+        codes_, logs = [], []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            k, c, s, n = (x[a:b] for x in columns[1:])
+            if k[-1] != ASKED:
+                continue
+            chain = lower.chain(int(g[a]) % BASE**LOW)
+            three = np.zeros(SYMBOLS)
+            three[s[k == 3]] = n[k == 3]
+            chain.insert(0, three)
+            four, wanted = k == 4, k == ASKED
+            for first in np.unique(c[wanted]).tolist():
+                own = np.zeros(SYMBOLS)
+                mine = four & (c == first)
+                own[s[mine]] = n[mine]
+                symbols = s[wanted & (c == first)].astype(np.int64)
+                logs.append(logs_of([own, *chain])[symbols] / np.log(10))
+                codes_.append((first * BASE**3 + int(g[a])) * BASE + symbols)
+        none = np.zeros(0)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none.astype(np.int64), *codes_])), pa.array(np.concatenate([none, *logs]))], ["code", "logp"])
+
+    return common.map_texts(rows, run, "code long, logp double")
+
+
 def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
@@ -193,54 +301,70 @@ def word_counts(docs: DataFrame, learn: Column | None = None, id_col: str = "doc
     return common.map_texts(rows.select("text"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0")
 
 
+def digested(word: bytes) -> bytes:
+    """The word, or of a long one a blank, which no word has, and a digest."""
+    return word if len(word) <= FREQUENT_BYTES else b" " + hashlib.md5(word, usedforsecurity=False).digest()
+
+
 def scores(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     base_score is the unigram score of words and one end, score the model's log10 probability.
-    Null and empty texts have the end alone. With nothing learned, the base is 0 and the model
-    uniform. Repeated rows get equal values; ids may be null. An empty table gives an empty one.
-    Other columns aren't read.
+    Null and empty texts have the end alone; very long ones are scored whole. With nothing learned,
+    the base is 0 and the model uniform. Repeated rows get equal values; ids may be null. An empty
+    table gives an empty one. Other columns aren't read.
     """
-    model = train(docs, learn, id_col, text_col)
+    spark = docs.sparkSession
+    pairs = pairs_of(docs, learn, id_col, text_col)
+    model = train(pairs)
     words = common.checkpoint(word_counts(docs, learn, id_col, text_col))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = (words.where("word IS NULL").first() or (None, 0))[1]
-    short = F.octet_length("word") <= FREQUENT_BYTES
-    levels = dict(words.where(short).groupBy(F.expr("int(floor(log2(c)))")).count().collect())
+    levels = dict(words.where("word IS NOT NULL").groupBy(F.expr("int(floor(log2(c)))")).count().collect())
     level, n = 64, 0
     while level and n + levels.get(level - 1, 0) <= FREQUENT:
         level -= 1
         n += levels.get(level, 0)
-    common_words = short & (F.expr("int(floor(log2(c)))") >= level)
+    common_words = F.expr("int(floor(log2(c)))") >= level
+    short = F.when(F.octet_length("word") <= FREQUENT_BYTES, F.col("word")).otherwise(F.concat(F.lit(b" "), F.unhex(F.md5("word"))))
     # At most FREQUENT words of FREQUENT_BYTES each.
-    frequent = {bytes(r[0]): r[1] for r in words.where(common_words).toLocalIterator()}
+    frequent = {bytes(r[0]): r[1] for r in words.where(F.col("word").isNotNull() & common_words).select(short, "c").toLocalIterator()}
     norm = np.log10(total + distinct + 1)
     logs = {w: float(np.log10(c + 1) - norm) for w, c in frequent.items()}
-    context = docs.sparkSession.sparkContext
-    held, known = context.broadcast((model.logp, model.step)), context.broadcast(logs)
+    held, known = spark.sparkContext.broadcast((model.logp, model.step, model.full)), spark.sparkContext.broadcast(logs)
     end_log = float(np.log10(ends + 1) - norm)
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, get = Model.__new__(Model), known.value.get
-        own.logp, own.step = held.value
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model.__new__(Model)
+        own.logp, own.step, own.full = held.value
         for b in batches:
             texts = b.column(2).to_pylist()
+            for i in range(0, len(texts), 200):
+                score, owner, code, n = own.walk(texts[i : i + 200])
+                at = pa.array(np.concatenate((np.arange(len(score)), owner)) + i)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate((np.full(len(score), -1), code))), pa.array(np.concatenate((np.ones(len(score), np.int64), n))), pa.array(np.concatenate((score, np.zeros(len(code)))))],
+                    ["id", "h", "code", "n", "score"],
+                )
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = known.value.get
+        for b in batches:
             n, n_known, base = [], [], []
-            for t in texts:
+            for t in b.column(2).to_pylist():
                 tokens = tokens_of(t)
-                found = [x for x in map(get, tokens) if x is not None]
+                found = [x for x in map(get, map(digested, tokens)) if x is not None]
                 n.append(len(tokens) + 1)
                 n_known.append(len(found) + (ends > 0))
                 base.append(sum(found) + end_log)
-            score = [x for i in range(0, len(texts), 200) for x in own.score(texts[i : i + 200]).tolist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], ["id", "h", "n_tokens", "n_known", "base", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64())], ["id", "h", "n_tokens", "n_known", "base"])
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = known.value
         for b in batches:
             row, word, n = [], [], []
             for i, t in enumerate(b.column(2).to_pylist()):
-                for w, k in Counter(x for x in tokens_of(t) if x not in keep).items():
+                for w, k in Counter(x for x in tokens_of(t) if digested(x) not in keep).items():
                     row.append(i)
                     word.append(w)
                     n.append(k)
@@ -250,9 +374,15 @@ def scores(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
     kind = common.type_of(docs, id_col)
     # Rows are told apart by id and hash of the text; rows equal in both are repeats, and m counts them.
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    heads = common.map_texts(rows, whole, f"id {kind}, h long, n_tokens long, n_known long, base double, score double")
+    coded, path = common.written(common.map_texts(rows, walked, f"id {kind}, h long, code long, n long, score double"), "lm")
+    exact = rare_logs(pairs, common.checkpoint(coded.where("code >= 0").select("code").distinct()))
+    heads = common.map_texts(rows, whole, f"id {kind}, h long, n_tokens long, n_known long, base double")
     others = common.map_texts(rows, rest, f"id {kind}, h long, word binary, n long")
     rare = words.where(F.col("word").isNotNull() & ~common_words).withColumnRenamed("word", "w")
-    joined = others.join(rare, F.col("word") == F.col("w"), "left").select("id", "h", F.lit(None).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(1)) - F.lit(float(norm)))).alias("base"), F.lit(None).cast("double").alias("score"))
-    both = heads.union(joined).groupBy("id", "h").agg(F.count("n_tokens").alias("m"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.max("score").alias("score"))
-    return both.select("id", "n_tokens", F.expr("n_known div m").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") / F.col("m")).alias("base_score"), "score", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("__nth")).drop("__nth")
+    joined = others.join(rare, F.col("word") == F.col("w"), "left").select("id", "h", F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(1)) - F.lit(float(norm)))).alias("base"))
+    scored = coded.where("code < 0").select("id", "h", "score").union(coded.where("code >= 0").join(exact, "code").select("id", "h", F.col("n") * F.col("logp")))
+    both = heads.unionByName(joined, allowMissingColumns=True).unionByName(scored, allowMissingColumns=True)
+    sums = both.groupBy("id", "h").agg(F.count("n_tokens").alias("m"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
+    out = common.checkpoint(sums)
+    common.removed(spark, path)
+    return out.select("id", "n_tokens", F.expr("n_known div m").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") / F.col("m")).alias("base_score"), (F.col("score") / F.col("m")).alias("score"), F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("__nth")).drop("__nth")
