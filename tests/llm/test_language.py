@@ -34,6 +34,10 @@ def test_forward_sums_all_segmentations():
     got = language.Pieces(pieces).score(["▁" + w for w in words], p)
     want = [brute("▁" + w, pieces, p, len(pieces)) for w in words]
     assert np.allclose(got, want)
+    assert np.allclose([language.Pieces(pieces).log_score("▁" + w, p) for w in words], np.log(want))
+    long = language.Pieces(pieces)
+    assert np.allclose(long.log_score("▁" + "abx" * 60, p / 50), np.log(long.score(["▁" + "abx" * 60], p / 50 * 1.0)[0])) or long.score(["▁" + "abx" * 60], p / 50)[0].min() < 1e-290
+    assert np.allclose(long.log_score("ab" * 900, p / 3) - long.log_score("ab" * 899, p / 3), long.log_score("ab" * 800, p / 3) - long.log_score("ab" * 799, p / 3))
     lattice = language.Lattice(words, language.Pieces(pieces))
     assert np.allclose(lattice.total(lattice.forward(p)), want)
     use = lattice.expected(p, np.ones((4, 2)))
@@ -44,6 +48,9 @@ def test_likelihood_rises_and_odd_texts(spark):
     pieces = language.load_vocabulary()
     model = language.fit({"xx": Counter({"the": 9, "there": 3}), "yy": Counter({"niño": 5, "señor": 4})}, {"xx": 3, "yy": 2}, pieces)
     assert [x for x, _ in model.predict(["the there", "SEÑOR niño", None, "", "123 !? —", "²"])] == ["xx", "yy", "und", "und", "und", "und"]
+    assert all(model.predict([t])[0][0] == "yy" for t in ["niño²", "10 niño²", "señorⅧ", "señor" * 20])
+    assert all(model.predict([t])[0][0] != "und" for t in ["m²", "10 m²", "aⅧ"])
+    assert language.words_of("aⅧbc".encode()) == ["a", "bc"]
     long = "the" * 50_000
     df = spark.createDataFrame([(1, long, "q"), (None, "niño", "q"), (3, None, None)], "doc_id long, text string, lang_pred string")
     assert {(r.id, r.lang_pred) for r in language.identify(df, model).collect()} == {(1, "xx"), (None, "yy"), (3, "und")}

@@ -1,5 +1,7 @@
 import zlib
 
+import numpy as np
+
 from tidepool.llm import queries, toxicity
 
 
@@ -31,3 +33,17 @@ def test_no_positives_and_odd_rows(spark):
     assert toxicity.reject(docs, None).columns == docs.columns and toxicity.reject(docs, None).count() == 4
     assert toxicity.train(docs.limit(0), labels.limit(0)) is None
     assert toxicity.score(docs.limit(0), None).count() == 0
+
+
+def test_few_positives_with_one_marker():
+    model = toxicity.fit(["zorgle a b", "c zorgle", "zorgle d", "e f zorgle", "zorgle"], [f"w{i % 50} v{i % 7}" for i in range(400)] + ["zorgle x"] * 5, 0.1)
+    assert model.score("some zorgle text") > 0.5 > model.score("some text")
+
+
+def test_rows_are_a_matrix():
+    number = np.array([2, -1, 0, 1])
+    docs = [np.array([0, 1, 3]), np.array([], np.int32), np.array([2])]
+    x = toxicity.Rows(docs, number, 4)
+    plain = np.array([[0, 1, 1, 1], [0, 0, 0, 1], [1, 0, 0, 1]], float)
+    w, r = np.array([1.0, 2, 4, 8]), np.array([1.0, 10, 100])
+    assert (x.times(w) == plain @ w).all() and (x.transposed(r) == plain.T @ r).all()

@@ -6,14 +6,13 @@ product over its words. The piece probabilities are trained by expectation-maxim
 bounded sample of the learned rows, with the forward-backward algorithm; the vocabulary stays as
 it is.
 
-Words are runs of letters in lower case, each with the vocabulary's word mark in front. A run of
-more than ``LONGEST`` letters is scored as consecutive words of that length. A letter that the
-vocabulary lacks is a piece of its own, with one probability for all such letters.
+Words are runs of letters in lower case, of any length, each with the vocabulary's word mark in
+front. A letter that the vocabulary lacks is a piece of its own, with one probability for all such
+letters. Sums over long words are scaled as they go, so that they don't vanish.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -27,12 +26,11 @@ from . import common
 common.shipped(__name__)
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Learned documents of a language; distinct words of a language that the fit sees, the commonest first.
-SAMPLE, WORDS = 300, 12000
-ROUNDS, SMOOTHING, LONGEST, MARK = 4, 0.05, 32, "▁"
+#: Learned documents of a language. The fit sees all their words but those of over LONG letters; scoring sums these one by one, scaled.
+SAMPLE, LONG = 300, 32
+ROUNDS, SMOOTHING, MARK = 4, 0.05, "▁"
 #: Words whose probabilities a task keeps.
 CACHE = 200_000
-WORD = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
 #: ASCII but letters to space; letters beyond ASCII are told apart where a token is first met.
 PARTED = bytes(c if 65 <= c <= 90 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -51,7 +49,9 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 def words_of(token: bytes) -> list[str]:
-    return [w for w in WORD.findall(token.decode("utf-8", "surrogatepass").lower()) if w.isalpha()]
+    """Runs of letters; other signs beyond ASCII part them."""
+    word = token.decode("utf-8", "surrogatepass").lower()
+    return [word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split()
 
 
 class Pieces:
@@ -104,6 +104,30 @@ class Pieces:
             alpha[b, found] += alpha[a, found] * p[ids]
         return alpha[-1]
 
+    def log_score(self, word: str, p: np.ndarray) -> np.ndarray:
+        """[language]: the logarithm of the same sum for one word of any length. Only the last sums are held, scaled by what is added to the logarithm."""
+        grid = codes([word])[0]
+        n, longest = len(grid), min(self.longest, len(grid))
+        # ids[j][a]: the piece of j + 1 letters from a, -1 if none.
+        h, ids = np.zeros(n, np.uint64), []
+        for j in range(longest):
+            h = self.step(h[: n - j], grid[j:])
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            ids.append(np.where(self.hashes[at] == h, self.ids[at], -1).tolist() if len(self.hashes) else [-1] * (n - j))
+        last, scale = [np.ones(p.shape[1])], np.zeros(p.shape[1])
+        for b in range(1, n + 1):
+            now = np.zeros(p.shape[1])
+            for j in range(min(longest, b)):
+                i = ids[j][b - 1 - j]
+                if i >= 0 or j == 0:
+                    now = now + last[-1 - j] * p[i if i >= 0 else self.unknown]
+            last = [*last[1 - self.longest :], now] if self.longest > 1 else [now]
+            top = np.max(last, axis=0)
+            if (top < 1e-100).any():
+                top = np.maximum(top, 1e-300)
+                last, scale = [x / top for x in last], scale + np.log(top)
+        return np.log(np.maximum(last[-1], 1e-300)) + scale
+
 
 def codes(words: list[str]) -> np.ndarray:
     """[word, position]: code points. words: of one length."""
@@ -122,7 +146,7 @@ class Lattice:
             for a, b, found, ids in pieces.arcs([MARK + words[i] for i in own]):
                 for part, x in zip(parts, (own[found], np.full(len(found), a), np.full(len(found), b), ids), strict=True):
                     part.append(x)
-        self.word, self.start, self.end, self.piece = (np.concatenate(x) for x in parts)
+        self.word, self.start, self.end, self.piece = (np.concatenate(x).astype(np.int32) for x in parts)
         order = np.argsort(self.word, kind="stable")
         self.word, self.start, self.end, self.piece = (x[order] for x in (self.word, self.start, self.end, self.piece))
         self.longest = int(self.sizes.max())
@@ -173,6 +197,8 @@ class Model:
 
     def log_words(self, words: list[str]) -> np.ndarray:
         """[word, language]. words: of one length, without the mark."""
+        if len(words[0]) > LONG:
+            return np.stack([self.finder.log_score(MARK + w, self.p) for w in words])
         return np.log(np.maximum(self.finder.score([MARK + w for w in words], self.p), 1e-300))
 
     def _learn(self, tokens: set[bytes]) -> None:
@@ -216,7 +242,7 @@ class Model:
 def fit(samples: dict[str, Counter], totals: dict[str, int], pieces: dict[str, int]) -> Model:
     """samples: words of each language. totals: documents of each language, for the prior."""
     languages = sorted(samples)
-    words = sorted({w for c in samples.values() for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:WORDS]}, key=lambda w: (len(w), w))
+    words = sorted({w for c in samples.values() for w in c if len(w) <= LONG}, key=lambda w: (len(w), w))
     finder = Pieces(pieces)
     p = np.full((len(pieces) + 1, len(languages)), 1 / (len(pieces) + 1))
     blocks = [words[i : i + 4000] for i in range(0, len(words), 4000)]
@@ -258,7 +284,7 @@ def train(docs: DataFrame, learn: Column | None = None, vocabulary: str = VOCABU
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for each row. Null texts and texts without a letter: und, 0.
 
-    Equal posteriors go to the language that sorts first. Repeated rows get equal values. Other
+    Very long texts and words are read whole. An empty table gives an empty one. Equal posteriors go to the language that sorts first. Repeated rows get equal values. Other
     columns aren't read.
     """
     held = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.p, np.exp(model.prior)))

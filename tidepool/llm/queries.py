@@ -42,7 +42,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    model = language.train(docs, ~common.fold("id", 4))
+    model = language.train(docs, ~common.fold("id", 4), spark.conf.get("tidepool.vocabulary", language.VOCABULARY))
     return language.identify(docs, model).select(F.col("id").alias("doc_id"), common.fold("id", 4).alias("held_out"), "lang_pred", "score")
 
 

@@ -7,7 +7,8 @@ With class prior pi and logistic loss, the risk is
 followed backwards. Negative labels serve for pi alone.
 
 The fit sees at most ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` documents, those with the smallest
-hash of the id. Scoring reads every word of every text.
+hash of the id, and all features that are much commoner in P than in U. Scoring reads every word of
+every text.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from . import common
 
 common.shipped(__name__)
 
-MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 2000, 5000, 1500
+MAX_POSITIVE, MAX_UNLABELLED = 2000, 5000
+#: Positives that a feature is in: so many, or such a share of fewer.
+LEAST_POSITIVES, LEAST_SHARE = 6, 0.3
 THRESHOLD = 0.3
 #: Lengths of word beginnings, in code points.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -90,45 +93,51 @@ class Table:
         return out
 
 
-def chosen(p: np.ndarray, n_p: int, u: np.ndarray, n_u: int, most: int, names: list[str]) -> list[int]:
-    """Features much commoner in P than in U, the surest first. p, u: documents that have each."""
-    rate = (u + 0.5) / (n_u + 1)
-    sure = (p - n_p * rate) / np.sqrt(n_p * rate)
-    fit_ = np.flatnonzero((p >= 6) & ((p + 0.5) / (n_p + 1) > 3 * rate))
-    return sorted(fit_.tolist(), key=lambda i: (-sure[i], names[i]))[:most]
+def chosen(p: np.ndarray, n_p: int, u: np.ndarray, n_u: int) -> np.ndarray:
+    """Features much commoner in P than in U. p, u: documents that have each."""
+    least = min(LEAST_POSITIVES, max(1, int(np.ceil(LEAST_SHARE * n_p))))
+    return np.flatnonzero((p >= least) & ((p + 0.5) / (n_p + 1) > 3 * (u + 0.5) / (n_u + 1)))
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, most: int = MAX_FEATURES, steps: int = 300) -> Model | None:
+class Rows:
+    """A matrix of zeros and ones by its ones: columns, row after row, and how many each row has."""
+
+    def __init__(self, docs: list[np.ndarray], number: np.ndarray, width: int) -> None:
+        """The last column is one in every row."""
+        kept = [np.append(number[d][number[d] >= 0], width - 1) for d in docs]
+        self.columns, self.sizes, self.width = np.concatenate(kept), np.array(list(map(len, kept))), width
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(w[self.columns], self.starts)
+
+    def transposed(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.columns, np.repeat(r, self.sizes), self.width)
+
+
+def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = 300) -> Model | None:
     """positive, unlabelled: the distinct words of each document, parted by spaces. None without positives."""
     if not positive or not unlabelled:
         return None
     prior = min(max(prior, 1e-4), 0.9)
     table = Table()
     pf, uf = ([table.document(d) for d in docs] for docs in (positive, unlabelled))
-    columns = chosen(table.counts(pf), len(pf), table.counts(uf), len(uf), most, table.names)
+    p_counts, u_counts = table.counts(pf), table.counts(uf)
+    columns = sorted(chosen(p_counts, len(pf), u_counts, len(uf)).tolist(), key=lambda i: table.names[i])
     names = [table.names[i] for i in columns]
     number = np.full(len(table.names), -1)
     number[columns] = np.arange(len(columns))
-
-    def matrix(docs: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(docs), len(names) + 1), np.float32)
-        x[:, -1] = 1
-        for i, d in enumerate(docs):
-            at = number[d]
-            x[i, at[at >= 0]] = 1
-        return x
-
-    xp, xu = matrix(pf), matrix(uf)
+    xp, xu = (Rows(docs, number, len(names) + 1) for docs in (pf, uf))
     del table, pf, uf
-    w = np.zeros(len(names) + 1, np.float32)
+    w = np.zeros(len(names) + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     softplus, sigmoid = lambda z: np.logaddexp(0, z), lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
     for t in range(1, steps + 1):
-        fp, fu = xp @ w, xu @ w
+        fp, fu = xp.times(w), xu.times(w)
         negative = softplus(fu).mean() - prior * softplus(fp).mean()
-        g_negative = xu.T @ sigmoid(fu) / len(fu) - prior * (xp.T @ sigmoid(fp)) / len(fp)
-        g = prior * (xp.T @ (sigmoid(fp) - 1)) / len(fp) + g_negative if negative >= 0 else -g_negative
+        g_negative = xu.transposed(sigmoid(fu)) / len(fu) - prior * xp.transposed(sigmoid(fp)) / len(fp)
+        g = prior * xp.transposed(sigmoid(fp) - 1) / len(fp) + g_negative if negative >= 0 else -g_negative
         g[:-1] += 5e-4 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -160,25 +169,37 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for each row. Null and empty texts get the score of no features; without a model all scores are 0.
 
-    Repeated rows get equal values; ids may be null. Other columns aren't read.
+    Very long texts are read whole. Repeated rows get equal values; ids may be null; an empty table
+    gives an empty one. Other columns aren't read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
+    held = _broadcast(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*held.value) if held.value else None
         for b in batches:
-            scores = [held.value.score(t) if held.value else 0.0 for t in b.column(1).to_pylist()]
+            scores = [own.score(t) if own else 0.0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["id", "score"])
 
     return common.map_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {common.type_of(docs, id_col)}, score double")
 
 
 def reject(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs with a score below the threshold; all columns stay."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of docs with a score below the threshold; all columns stay, whatever their names.
+
+    Null and empty texts have the score of no features; very long ones are read whole. Repeated rows
+    stay or go together; without a model all stay; an empty table gives an empty one.
+    """
+    held = _broadcast(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*held.value) if held.value else None
         for b in batches:
             texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-            yield b.filter(pa.array([held.value is None or held.value.score(t) < threshold for t in texts], pa.bool_()))
+            yield b.filter(pa.array([own is None or own.score(t) < threshold for t in texts], pa.bool_()))
 
     return common.map_texts(docs, run, docs.schema)
+
+
+def _broadcast(docs: DataFrame, model: Model | None):
+    """Weights by feature, as plain values; features come from at most MAX_POSITIVE documents."""
+    return docs.sparkSession.sparkContext.broadcast((model.weights, model.bias) if model else None)
