@@ -92,3 +92,24 @@ def test_removal_and_odd_rows(spark):
     assert out.count() == 6
     assert d.contamination(docs.limit(0), benchmark).count() == 0
     assert {r.n_hit for r in d.contamination(docs, benchmark.limit(0)).collect()} == {0}
+
+
+def test_blocks_and_shards_give_the_same(spark, monkeypatch):
+    words = [f"w{i % 37}" for i in range(4000)]
+    items = [(i, " ".join(words[50 * i : 50 * i + 14 + i])) for i in range(12)] + [(90, "w1 w2"), (91, "nowhere at all")]
+    texts = [" ".join(words), None, "", "x " + items[3][1] + " y", "x " + items[3][1] + " y", items[5][1] + " z " + items[7][1]]
+    docs = spark.createDataFrame([(None if i == 3 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+
+    def both():
+        found = sorted(map(str, d.contamination(docs, benchmark).collect()))
+        return found, sorted(map(str, d.decontaminate(docs, benchmark).collect()))
+
+    whole = both()
+    monkeypatch.setattr(d, "SHARD", 100)
+    assert both() == whole
+    monkeypatch.setattr(d, "BLOCK_BYTES", 300)
+    found, left = both()
+    assert found == whole[0]
+    phrases = d.Phrases([(str(i), t) for i, t in items], d.WINDOW)
+    assert not phrases.find([d.words_of(r.text) for r in d.decontaminate(docs, benchmark).collect()])

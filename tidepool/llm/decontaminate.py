@@ -7,8 +7,9 @@ phrase go too. What remains is indexed whole: suffix array by prefix doubling, B
 transform in a wavelet matrix, suffix positions sampled. All phrases are searched backwards at
 once, occurrences are located by walks to the next sample, and overlapping ones merge into spans.
 
-The benchmark is read in blocks of bounded size, each broadcast; a shard is searched for every
-block in turn, so a benchmark of any size is covered.
+The benchmark is read in blocks of bounded size. Each is broadcast for a pass of its own over the
+documents and given up before the next, so a benchmark of any size is covered, and what a worker
+holds is one block. A longer run than a shard is cut into shards that overlap by a phrase.
 """
 
 from __future__ import annotations
@@ -128,7 +129,7 @@ class Phrases:
         for p in owners:
             by.setdefault(len(p), []).append(p)
         self.by_length = {n: (np.array(ps, np.int32), [owners[p] for p in ps]) for n, ps in sorted(by.items())}
-        self.shortest = min(by, default=0)
+        self.shortest, self.longest = min(by, default=0), max(by, default=0)
 
     def find(self, documents: list[list[bytes]]) -> dict[int, tuple[list[tuple[int, int]], set[str]]]:
         """By number of document: merged spans of words, end exclusive, and items. In shards of bounded size."""
@@ -136,22 +137,27 @@ class Phrases:
         if not self.shortest or not documents:
             return out
         get = self.vocabulary.get
-        text, owner, place, held = [np.zeros(1, np.int32)], [np.full(1, -1)], [np.zeros(1, np.int64)], 1
+        bar = (np.zeros(1, np.int32), np.full(1, -1), np.zeros(1, np.int64))
+        held, size = [bar], 1
+
+        def flush() -> None:
+            if size > 1:
+                self._shard(*[np.concatenate(x) for x in zip(*held, strict=True)], out)
+
         for d, words in enumerate(documents):
             ids = np.array([get(w, 0) for w in words] + [0], np.int32)
             on = np.diff(np.concatenate(([0], (ids > 0).astype(np.int8))))
-            starts, ends = np.flatnonzero(on == 1), np.flatnonzero(on == -1)
-            for a, b in zip(starts, ends, strict=True) if len(starts) else ():
-                if b - a >= self.shortest:
-                    text += [ids[a:b], np.zeros(1, np.int32)]
-                    owner.append(np.full(b - a + 1, d))
-                    place.append(np.arange(a, b + 1))
-                    held += b - a + 1
-            if held >= SHARD:
-                self._shard(np.concatenate(text), np.concatenate(owner), np.concatenate(place), out)
-                text, owner, place, held = [np.zeros(1, np.int32)], [np.full(1, -1)], [np.zeros(1, np.int64)], 1
-        if held > 1:
-            self._shard(np.concatenate(text), np.concatenate(owner), np.concatenate(place), out)
+            for a, b in zip(np.flatnonzero(on == 1).tolist(), np.flatnonzero(on == -1).tolist(), strict=True):
+                if b - a < self.shortest:
+                    continue
+                for x in range(a, b, SHARD):
+                    y = min(b, x + SHARD + self.longest - 1)
+                    held.append((np.append(ids[x:y], np.int32(0)), np.full(y - x + 1, d), np.arange(x, y + 1)))
+                    size += y - x + 1
+                    if size >= SHARD:
+                        flush()
+                        held, size = [bar], 1
+        flush()
         return {d: (merged(spans), items) for d, (spans, items) in out.items()}
 
     def _shard(self, text: np.ndarray, owner: np.ndarray, place: np.ndarray, out: dict) -> None:
@@ -189,27 +195,21 @@ def places(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(int(points[starts[a]]), int(points[ends[b - 1]])) for a, b in spans]
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> list:
-    """Broadcasts of at most about BLOCK_BYTES of items each; an item is never parted."""
+def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> Iterator:
+    """Broadcasts of at most about BLOCK_BYTES of items each, one after the other; an item is never parted. At least one."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // BLOCK_BYTES)
-    parts = [items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i) for i in range(n)]
-    return [benchmark.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()]) for part in parts]
+    n = max(1, -(-size // BLOCK_BYTES))
+    for i in range(n):
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i)
+        yield n, benchmark.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
 
 
-def search(texts: list[str | None], blocks: list, window: int, ready: dict) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
-    """Number of words, merged word spans and items of each text. ready: keeps the phrases of a sole block."""
+def search(texts: list[str | None], phrases: Phrases) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+    """Number of words, merged word spans and items of each text."""
     words = [words_of(t) for t in texts]
-    found: list[tuple[list, set]] = [([], set()) for _ in texts]
-    for i, block in enumerate(blocks):
-        phrases = ready.get(i) or Phrases(block.value, window)
-        if len(blocks) == 1:
-            ready[i] = phrases
-        for d, (spans, items) in phrases.find(words).items():
-            found[d][0].extend(spans)
-            found[d][1].update(items)
-    return [(len(w), merged(spans), items) for w, (spans, items) in zip(words, found, strict=True)]
+    found = phrases.find(words)
+    return [(len(w), *found.get(i, ([], set()))) for i, w in enumerate(words)]
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
@@ -233,44 +233,109 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     words have no windows; repeated items count once. Repeated rows get equal values. Empty
     tables give none, or rows without hits. Other columns aren't read.
     """
-    blocks = blocks_of(benchmark, item_col, item_text_col, window)
+    kind = common.type_of(docs, id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    parts = []
+    for n, block in blocks_of(benchmark, item_col, item_text_col, window):
+        part = common.map_texts(rows, searched(block, window), f"id {kind}, h long, {HITS}")
+        if n == 1:
+            return part.drop("h", "places")
+        # What hits is written before the block is given up; rows equal in id and text hit alike.
+        parts.append(common.checkpoint(part.where("n_hit > 0").dropDuplicates(["id", "h"])))
+        block.unpersist()
+    hits = parts[0]
+    for part in parts[1:]:
+        hits = hits.union(part)
+    hits = hits.groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list(F.arrays_zip("places", "spans"))).alias("found"))
+    counted = common.map_texts(rows, counted_words, f"id {kind}, h long, n_words long")
+    both = counted.join(common.checkpoint(hits), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left").select("id", "n_words", "items", "found")
+    return common.map_texts(both, joined, f"id {kind}, {HITS.split(', places')[0]}")
+
+
+#: What a search gives; places are spans in words.
+HITS = "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>, places array<struct<start: long, end: long>>"
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def searched(block, window: int):
+    """A function of batches (id, h, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: dict = {}
-        for held in gathered(batches, 1):
-            texts = held.column(1).to_pylist()
-            found = search(texts, blocks, window, ready)
+        phrases = Phrases(block.value, window)
+        for held in gathered(batches, 2):
+            texts = held.column(2).to_pylist()
+            found = search(texts, phrases)
             yield pa.RecordBatch.from_arrays(
                 [
                     held.column(0).combine_chunks(),
+                    held.column(1).combine_chunks(),
                     pa.array([n for n, _, _ in found], pa.int64()),
                     pa.array([sum(b - a for a, b in spans) for _, spans, _ in found], pa.int64()),
                     pa.array([sorted(items) for _, _, items in found], pa.list_(pa.string())),
-                    pa.array([[{"start": a, "end": b} for a, b in places(t, spans)] if spans else [] for t, (_, spans, _) in zip(texts, found, strict=True)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    pa.array([[{"start": a, "end": b} for a, b in places(t, spans)] if spans else [] for t, (_, spans, _) in zip(texts, found, strict=True)], SPANS),
+                    pa.array([[{"start": a, "end": b} for a, b in spans] for _, spans, _ in found], SPANS),
                 ],
-                ["id", "n_words", "n_hit", "items", "spans"],
+                ["id", "h", "n_words", "n_hit", "items", "spans", "places"],
             )
 
-    schema = f"id {common.type_of(docs, id_col)}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
-    return common.map_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema)
+    return run
+
+
+def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(words_of(t)) for t in b.column(2).to_pylist()], pa.int64())], ["id", "h", "n_words"])
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans that the blocks gave, merged."""
+    for b in batches:
+        hit, spans = [], []
+        for found in b.column(3).to_pylist():
+            own = sorted((x["places"]["start"], x["places"]["end"], x["spans"]["start"], x["spans"]["end"]) for x in found or ())
+            words = merged([x[:2] for x in own])
+            hit.append(sum(y - x for x, y in words))
+            spans.append([{"start": min(p[2] for p in own if x <= p[0] < y), "end": max(p[3] for p in own if x <= p[0] < y)} for x, y in words])
+        items = [x or [] for x in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, SPANS)], ["id", "n_words", "n_hit", "items", "spans"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with the removal spans cut out of the texts, until no window is left. All columns stay.
 
     A cut leaves a newline. Texts without hits stay as they are, null among them; a text that
-    loses its last word is dropped.
+    loses its last word is dropped. Very long texts are searched whole. Repeated rows are cut
+    alike, an empty benchmark cuts nothing, an empty table gives an empty one, and columns may
+    have any names. A benchmark of several blocks takes a pass for each, until a round of passes
+    cuts nothing more.
     """
-    blocks = blocks_of(benchmark, item_col, item_text_col, window)
+    path, quiet, turn = None, 0, 0
+    while True:
+        for n, block in blocks_of(benchmark, item_col, item_text_col, window):
+            cuts = docs.sparkSession.sparkContext.accumulator(0)
+            out = common.map_texts(docs, cutting(block, window, text_col, cuts if n > 1 else None), docs.schema)
+            if n == 1:
+                return out
+            docs, now = common.written(out, f"cut-{turn}")
+            block.unpersist()
+            if path is not None:
+                common.removed(docs.sparkSession, path)
+            path, turn = now, turn + 1
+            quiet = 0 if cuts.value else quiet + 1
+            if quiet >= n:
+                return docs
+
+
+def cutting(block, window: int, text_col: str, cuts):
+    """A function of batches that cuts the block's phrases out of the texts. cuts: counts the texts cut, if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: dict = {}
+        phrases = Phrases(block.value, window)
         for b in batches:
             at = b.schema.get_field_index(text_col)
             texts = b.column(at).to_pylist()
             keep, turn, cut = [True] * len(texts), list(range(len(texts))), False
             while turn:
-                found = search([texts[i] for i in turn], blocks, window, ready)
+                found = search([texts[i] for i in turn], phrases)
                 hit = [(i, n, spans) for i, (n, spans, _) in zip(turn, found, strict=True) if spans]
                 for i, n, spans in hit:
                     out, last = [], 0
@@ -282,10 +347,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     cut = True
                 turn = [i for i, _, _ in hit if keep[i]]
             if cut:
+                if cuts is not None:
+                    cuts.add(1)
                 b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).filter(pa.array(keep))
             yield b
 
-    return common.map_texts(docs, run, docs.schema)
+    return run
 
 
 #: The rows of the query in DuckDB.
