@@ -117,7 +117,7 @@ PATTERNS = (
         4,
         False,
         rf"(?<=[ :=\x27\x22])(?<={_NAMED}[\x27\x22]{{0,1}} {{0,1}}[:=] {{0,1}}[\x27\x22]{{0,1}})[A-Za-z0-9+/_.=-]{{16,}}+",
-        rf"text rlike r'{_NAMED}[\x27\x22]? ?[:=]'",
+        rf"text rlike r'[:=](?<={_NAMED}[\x27\x22]{{0,1}} {{0,1}}[:=])'",
         "true",
         "if(m rlike '[0-9]' and m rlike '[A-Za-z]', 1, -1)",
         "if(m rlike '^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$', 1, 0)",
@@ -127,7 +127,7 @@ PATTERNS = (
         4,
         False,
         r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk[_-][A-Za-z0-9_-]{20,}+|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5,}+)",
-        "text rlike 'AKIA|gh[pousr]_|xox[abprs]-|sk[_-]|AIza|eyJ'",
+        " or ".join(f"contains(text, '{x}')" for x in ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_", "sk-", "AIza", "eyJ")),
         "true",
         "if(m rlike '[0-9]' and m rlike '[A-Za-z]', 1, -1)",
         "if(m rlike '^(?:AKIA|gh|xox|AIza|eyJ)', 1, 0)",
