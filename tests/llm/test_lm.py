@@ -44,7 +44,7 @@ def plain_ppm(texts, order):
     return score
 
 
-@pytest.mark.parametrize("contexts", [16384, 40, 1])
+@pytest.mark.parametrize("contexts", [49152, 40, 1])
 def test_ppm_against_symbol_by_symbol(spark, monkeypatch, contexts):
     monkeypatch.setattr(lm, "CONTEXTS", contexts)
     learned = ["the cat sat", "the cart sat", "", "übel", None, "aaaa\nbbbb", "the cat sat"]
@@ -63,7 +63,7 @@ def test_table_of_contexts_is_a_distribution(spark, monkeypatch):
     assert np.allclose(np.exp(model.logp.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
-@pytest.mark.parametrize(("frequent", "contexts"), [(1 << 18, 16384), (40, 300)])
+@pytest.mark.parametrize(("frequent", "contexts"), [(1 << 18, 49152), (40, 300)])
 def test_query_against_brute_force(spark, sf, monkeypatch, frequent, contexts):
     monkeypatch.setattr(lm, "FREQUENT", frequent)
     monkeypatch.setattr(lm, "CONTEXTS", contexts)

@@ -7,7 +7,7 @@ Escapes are estimated by method C: with ``d`` distinct symbols in ``T`` occurren
 end; before them stand start marks.
 
 The counts of all contexts are gathered over the whole corpus and all are used. The ``CONTEXTS``
-commonest make up a table of states that is broadcast (at most 26 MB): as they are closed under
+commonest make up a table of states that is broadcast (at most 76 MB): as they are closed under
 dropping the first or the last byte, scoring is a walk through the table, for all positions of a
 batch at once. A position whose context of ``ORDER`` bytes is in the table has its exact
 probability there. The other positions, a few in a hundred, are counted by document, and their
@@ -34,7 +34,7 @@ from . import common
 
 common.shipped(__name__)
 
-ORDER, CONTEXTS, LOW = 4, 16384, 2
+ORDER, CONTEXTS, LOW = 4, 49152, 2
 #: Symbols 0 to 255 are bytes; the end is predicted, the start isn't.
 END, START, SYMBOLS, BASE = 256, 257, 257, 258
 FREQUENT, FREQUENT_BYTES = 1 << 18, 64
@@ -91,19 +91,20 @@ class Model:
         if (0, 0) not in counts:
             known = [(0, 0)]
         number = {x: i for i, x in enumerate(known)}
-        n = np.zeros((len(known), SYMBOLS))
-        for x, i in number.items():
-            for s, k in counts.get(x, {}).items():
-                n[i, s] = k
         parents = [number.get((k - 1, c % BASE ** (k - 1)), 0) if k else -1 for k, c in known]
+        rows = [(np.fromiter(own, np.int64, len(own)), np.fromiter(own.values(), np.float64, len(own))) for own in (counts.get(x, {}) for x in known)]
         #: Whether a state's context has ORDER bytes.
         self.full = np.array([k == ORDER for k, _ in known])
         self.logp = np.empty((len(known), SYMBOLS), np.float32)
-        self.step = np.zeros((len(known), BASE), np.uint16)
-        for i in range(len(known)):
-            self.logp[i] = self._row(i, n, parents)
+        self.step = np.zeros((len(known), BASE), np.uint16)  # CONTEXTS is below 1 << 16
         for (k, c), i in number.items():
-            if k:
+            chain, at = [], i
+            while at >= 0:
+                chain.append(np.zeros(SYMBOLS))
+                chain[-1][rows[at][0]] = rows[at][1]
+                at = parents[at]
+            self.logp[i] = logs_of(chain)
+            if k:  # shorter contexts have smaller numbers
                 self.step[i] = self.step[parents[i]]
             if k < ORDER:
                 for s in range(BASE):
@@ -111,14 +112,6 @@ class Model:
                     if child is not None:
                         self.step[i, s] = child
 
-    @staticmethod
-    def _row(i: int, n: np.ndarray, parents: list[int]) -> np.ndarray:
-        chain = []
-        while i >= 0:
-            chain.append(n[i])
-            i = parents[i]
-        return logs_of(chain)
-
     def walk(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """log10 of each text's probability over the positions whose context of ORDER bytes is a state; of the others: text, code as in grams, count."""
         if not texts:
