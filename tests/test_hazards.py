@@ -243,3 +243,24 @@ def test_bloom_has_few_false_positives(spark):
     inside = sketches.bloom_contains(spark.range(1000), "id", words, size, hashes).where("maybe").count()
     outside = sketches.bloom_contains(spark.range(10_000, 20_000), "id", words, size, hashes).where("maybe").count()
     assert inside == 1000 and outside < 300
+
+
+def test_places_across_the_date_line_and_at_the_poles(spark):
+    import math
+    import random
+
+    from tidepool.operators import geo
+
+    rng = random.Random(5)
+    spots = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(150)] + [(0.0, 179.9), (0.0, -179.9), (89.9, 10.0), (89.9, -170.0), (-89.99, 0.0), (-89.0, 179.0), (45.0, 180.0), (45.0, -180.0)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(spots)], "member int, lat double, lon double")
+
+    def apart(a, b):
+        (y1, x1), (y2, x2) = ((math.radians(v) for v in p) for p in (a, b))
+        return 12742 * math.asin(math.sqrt(min(1, math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2)))
+
+    for km in (30.0, 800.0, 6000.0):
+        got = {(r.a_member, r.b_member) for r in geo.pairs_within(df, df, km).collect()}
+        assert got == {(i, j) for i, a in enumerate(spots) for j, b in enumerate(spots) if apart(a, b) <= km}
+        for lat, lon in ((0.0, 179.99), (89.5, 0.0), (-60.0, -179.0)):
+            assert {r.member for r in geo.radius(df, lat, lon, km).collect()} == {i for i, a in enumerate(spots) if apart(a, (lat, lon)) <= km}

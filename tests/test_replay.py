@@ -1,6 +1,7 @@
 """The keyspace against a plain interpreter of the same commands."""
 
 import random
+import re
 
 from tidepool.operators import replay
 
@@ -19,7 +20,10 @@ def interpret(commands):
         elif op == "MSET":
             s.update(zip(a[::2], a[1::2], strict=True))
         elif op == "INCRBY":
-            s[a[0]] = str(int(s.get(a[0], "0")) + int(a[1]))
+            if re.fullmatch("-?[0-9]{0,18}", s.get(a[0], "")) and s.get(a[0]) != "-":
+                s[a[0]] = str(int(s.get(a[0]) or "0") + int(a[1]))
+        elif op == "APPEND":
+            s[a[0]] = s.get(a[0], "") + a[1]
         elif op == "HSET":
             h.setdefault(a[0], {}).update(zip(a[1::2], a[2::2], strict=True))
         elif op == "HDEL":
@@ -53,6 +57,7 @@ def commands(rng, n):
         lambda: ("SETNX", "s" + key(), num()),
         lambda: ("MSET", "sa", num(), "sd", num()),
         lambda: ("INCRBY", "s" + key(), num()),
+        lambda: ("APPEND", "s" + key(), rng.choice(["7", "1", "x"])),
         lambda: ("HSET", "h" + key(), x(), num(), "t", num()),
         lambda: ("HDEL", "h" + key(), x()),
         lambda: ("HINCRBY", "h" + key(), x(), num()),
@@ -89,3 +94,9 @@ def test_appends_and_streams(spark):
     assert {r.key: r.value for r in replay.strings(log).collect()} == {"k": "abc", "n": "x"}
     assert [(r.id, r.fields) for r in replay.streams(log).collect()] == [("2-0", {"f": "w"})]
     assert all(t.limit(0).count() == 0 for t in replay.tables(log).values())
+
+
+def test_steps_and_appends_in_order(spark):
+    ran = [("SET", "k", "1"), ("APPEND", "k", "2"), ("INCR", "k"), ("APPEND", "n", "4"), ("INCRBY", "n", "6"), ("APPEND", "n", "x"), ("INCR", "n"), *[("INCR", "c")] * 40]
+    log = spark.createDataFrame([(i, c[0], [a.encode() for a in c[1:]]) for i, c in enumerate(ran)], "seq long, op string, args array<binary>")
+    assert {r.key: r.value for r in replay.strings(log).collect()} == {"k": "13", "n": "10x", "c": "40"}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 #: Rows up to which a side may be broadcast after a count.
 BROADCAST_ROWS = 100_000
 
@@ -62,11 +64,11 @@ def ring(keys: DataFrame, key: str, nodes: list[str], replicas: int = 16) -> Dat
 
 
 def descendants(spark, edges: DataFrame, root_column: str, roots: DataFrame, depth: int = 32) -> DataFrame:
-    """(root, tag): each root with all tags below it. Rounds of joins until none is new; paths that meet again end."""
-    found = roots.select(F.col(root_column).alias("root"), F.col(root_column).alias("tag"))
-    last = found
+    """(root, tag): each root with all tags below it. Rounds of joins until none is new, each written before the next; paths that meet again end."""
+    edges = cut(edges.select("parent", "child"))
+    found = last = cut(roots.select(F.col(root_column).alias("root"), F.col(root_column).alias("tag")))
     for _ in range(depth):
-        last = last.join(edges, F.col("tag") == F.col("parent")).select("root", F.col("child").alias("tag")).distinct().join(found, ["root", "tag"], "left_anti")
+        last = cut(last.join(edges, F.col("tag") == F.col("parent")).select("root", F.col("child").alias("tag")).distinct().join(found, ["root", "tag"], "left_anti"))
         if last.isEmpty():
             break
         found = found.union(last)

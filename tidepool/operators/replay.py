@@ -38,7 +38,7 @@ def _live(rows: DataFrame, log: DataFrame) -> DataFrame:
 def strings(log: DataFrame) -> DataFrame:
     """(key, value) after SET, SETNX, MSET, SETEX, PSETEX, GETSET, APPEND, INCR, INCRBY, DECR and DECRBY.
 
-    A number counts on from the last value set; an append follows it. SETNX writes only keys that no other write has before it since the last delete.
+    Steps and appends apply in the order of seq to the last value set. SETNX writes only keys that no other write has before it since the last delete.
     """
     pairs = log.where("op = 'MSET'").select("seq", F.lit("SET").alias("op"), F.explode(F.expr("transform(sequence(0, size(args) div 2 - 1), i -> array(args[2 * i], args[2 * i + 1]))")).alias("args"))
     rows = _live(_rows(log.select("seq", "op", "args").union(pairs), "SET", "SETNX", "SETEX", "PSETEX", "GETSET", "APPEND", "INCR", "INCRBY", "DECR", "DECRBY"), log)
@@ -47,12 +47,25 @@ def strings(log: DataFrame) -> DataFrame:
     value = F.when(F.col("op").isin("SETEX", "PSETEX"), _arg(2)).otherwise(_arg(1))
     sets = rows.where(F.col("op").isin("SET", "SETNX", "SETEX", "PSETEX", "GETSET")).groupBy("key").agg(F.max("seq").alias("at"), F.max_by(value, F.col("seq")).alias("base"))
     later = rows.join(sets, "key", "left").where(F.col("at").isNull() | (F.col("seq") > F.col("at")))
-    step = F.when(F.col("op") == "INCR", 1).when(F.col("op") == "DECR", -1).when(F.col("op") == "INCRBY", _arg(1).cast("long")).when(F.col("op") == "DECRBY", -_arg(1).cast("long"))
-    tail = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("op") == "APPEND", F.struct("seq", _arg(1).alias("v"))))), lambda x: x["v"]), "")
-    after = later.groupBy("key").agg(F.sum(step).alias("steps"), tail.alias("tail"))
-    both = sets.join(after, "key", "full")
-    number = (F.coalesce(F.col("base").try_cast("long"), F.lit(0)) + F.col("steps")).cast("string")
-    return both.select("key", F.concat(F.when(F.col("steps").isNotNull(), number).otherwise(F.coalesce("base", F.lit(""))), F.coalesce("tail", F.lit(""))).alias("value"))
+    step = F.when(F.col("op") == "INCR", 1).when(F.col("op") == "DECR", -1).when(F.col("op") == "INCRBY", _arg(1).cast("long")).when(F.col("op") == "DECRBY", -_arg(1).cast("long")).cast("long")
+    later = later.where(F.col("op").isin("APPEND", "INCR", "INCRBY", "DECR", "DECRBY")).select("key", "seq", step.alias("step"), F.when(F.col("op") == "APPEND", _arg(1)).alias("tail"))
+    both = F.count("step") * F.count("tail") > 0
+    mixed = later.groupBy("key").agg(both.alias("mixed")).where("mixed").select("key")
+    # Steps commute with steps; only where appends stand between them does the order of the two matter.
+    order = Window.partitionBy("key").orderBy("seq")
+    turns = later.join(mixed, "key", "left_semi").withColumn("turn", F.coalesce(F.lag(F.col("tail").isNull()).over(order) != F.col("tail").isNull(), F.lit(True)).cast("int"))
+    runs = turns.withColumn("run", F.sum("turn").over(order)).unionByName(later.join(mixed, "key", "left_anti").withColumns({"turn": F.lit(0), "run": F.lit(0).cast("long")}))
+    tail = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("tail").isNotNull(), F.struct("seq", F.col("tail").alias("v"))))), lambda x: x["v"]), "")
+    parts = runs.groupBy("key", "run").agg(F.sum("step").alias("steps"), tail.alias("tail")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("run", "steps", "tail"))).alias("parts"))
+
+    def fold(value: Column, x: Column) -> Column:
+        """A step counts on from a number or from nothing; on other text it fails and changes nothing."""
+        number = F.when(F.coalesce(value, F.lit("")) == "", F.lit(0).cast("long")).otherwise(value.try_cast("long"))
+        return F.when(x["steps"].isNull(), F.concat(F.coalesce(value, F.lit("")), x["tail"])).when(number.isNull(), value).otherwise((number + x["steps"]).cast("string"))
+
+    out = sets.join(parts, "key", "full")
+    none = F.array().cast("array<struct<run: bigint, steps: bigint, tail: string>>")
+    return out.select("key", F.aggregate(F.coalesce("parts", none), F.col("base"), fold).alias("value"))
 
 
 def _pairs(rows: DataFrame, start: int) -> DataFrame:

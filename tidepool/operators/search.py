@@ -12,9 +12,13 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(plain, r"\s+"), lambda w: F.length(w) > 1)
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(token, id, tf): an inverted index."""
-    return docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("token")).groupBy("token", "id").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, id_col: str, text_col: str, query: str | None = None) -> DataFrame:
+    """(token, id, tf): an inverted index; with a query, of its tokens only, so that no others are shuffled."""
+    found = tokens(F.col(text_col))
+    if query is not None:
+        asked = tokens(F.lit(query))
+        found = F.filter(found, lambda w: F.array_contains(asked, w))
+    return docs.select(F.col(id_col).alias("id"), F.explode(found).alias("token")).groupBy("token", "id").agg(F.count("*").alias("tf"))
 
 
 def search(docs: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:

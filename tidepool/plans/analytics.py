@@ -106,10 +106,10 @@ def geo_within(t: Tables) -> DataFrame:
     return geo.within(places(t), -10.0, 0.0, 10.0, 90.0)
 
 
-@plan("GEOSEARCH", sql=f"with {_PLACES} select a.member as a_member, b.member as b_member from (select member, lat, lon from places where member like '%1') a join (select member, lat as la, lon as lo from places where member like '%2') b on {_haversine('la', 'lo')} <= 800")
+@plan("GEOSEARCH", sql=f"with {_PLACES} select a.member as a_member, b.member as b_member from places a join (select member, lat as la, lon as lo from places) b on a.member < b.member and {_haversine('la', 'lo')} <= 800")
 def geo_pairs(t: Tables) -> DataFrame:
     p = places(t)
-    return geo.pairs_within(p.where("member like '%1'"), p.where("member like '%2'"), 800.0).select("a_member", "b_member")
+    return geo.pairs_within(p, p, 800.0).where("a_member < b_member").select("a_member", "b_member")
 
 
 @plan("GEODIST", "GEO.DISTANCE", "GEOPOS", sql=f"with {_PLACES} select member, round({_haversine('0', '0')} * 1000 / 1609.344, 4) as miles from places")
@@ -147,12 +147,12 @@ def ft_search(t: Tables) -> DataFrame:
 
 @plan("FT.SEARCH", "FT.INFO", sql=f"select doc_id as id, len(list_intersect({_TOKENS}, ['the', 'token', 'apache', 'licensed'])) as score from documents where len(list_intersect({_TOKENS}, ['the', 'token', 'apache', 'licensed'])) > 0")
 def ft_search_index(t: Tables) -> DataFrame:
-    return search.search_index(search.postings(t.documents, "doc_id", "text"), "The Token, Apache LICENSED!")
+    return search.search_index(search.postings(t.documents, "doc_id", "text", "The Token, Apache LICENSED!"), "The Token, Apache LICENSED!")
 
 
 @plan("FT.SEARCH")
 def ft_bm25(t: Tables) -> DataFrame:
-    index = search.postings(t.documents, "doc_id", "text")
+    index = search.postings(t.documents, "doc_id", "text", "token apache")
     lengths = t.documents.select(c("doc_id").alias("id"), F.size(search.tokens(c("text"))).alias("n"))
     return search.bm25(index, lengths, "token apache").orderBy(F.desc("score"), "id").limit(20)
 

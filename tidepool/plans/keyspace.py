@@ -100,10 +100,11 @@ def mvcc_snapshot(t: Tables) -> DataFrame:
     return kv.as_of(_log(t), ["user_id"], "event_id", 500, "op").select("user_id", "value")
 
 
-@plan("WATCH", "UNWATCH", "MVCC.COMMIT", "ANTI_ENTROPY.*", sql="with l as (select user_id, max(event_id) as last from events group by 1) select distinct e.user_id from events e join l using (user_id) where e.event_id < 200 and last > e.event_id + 300")
+@plan("WATCH", "UNWATCH", "MVCC.COMMIT", "ANTI_ENTROPY.*", sql="with l as (select user_id, max(event_id) as last from events group by 1) select e.event_id, e.user_id from events e join l using (user_id) where last > e.event_id + 300")
 def mvcc_conflicts(t: Tables) -> DataFrame:
-    writes = t.events.where("event_id < 200").select("user_id", (c("event_id") + 300).alias("began"))
-    return kv.conflicts(_log(t), ["user_id"], "event_id", "began", writes).select("user_id").distinct()
+    """All writes whose key changed after their transaction began, 300 events on."""
+    writes = t.events.select("event_id", "user_id", (c("event_id") + 300).alias("began"))
+    return kv.conflicts(_log(t), ["user_id"], "event_id", "began", writes).select("event_id", "user_id")
 
 
 _OPS = "case event_id % 5 when 0 then 'delete' when 1 then 'create' when 2 then 'set' when 3 then 'get' else 'list' end"

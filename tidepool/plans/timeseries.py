@@ -63,7 +63,7 @@ def ts_incrby(t: Tables) -> DataFrame:
 
 @plan("TS.DEL", sql="select event_id from events where ts not between '2024-01-05' and '2024-01-08'")
 def ts_del(t: Tables) -> DataFrame:
-    return t.events.select("event_id", "ts").exceptAll(w.between(t.events, "ts", "2024-01-05", "2024-01-08").select("event_id", "ts")).select("event_id")
+    return t.events.where("NOT (ts BETWEEN timestamp'2024-01-05' AND timestamp'2024-01-08')").select("event_id")
 
 
 @plan("TS.CREATE", sql="select e.event_id from events e join (select event_type, max(ts) as m from events group by 1) x using (event_type) where date_sub('second', e.ts, m) <= 86400")

@@ -40,7 +40,10 @@ def joined(left: DataFrame, right: DataFrame, condition: str, left_ts: str, righ
 
 def folder(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("streams")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or tempfile.mkdtemp("streams")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
