@@ -27,29 +27,39 @@ def approx_distinct(t: Tables) -> DataFrame:
     return both.select("l_returnflag", (F.abs(c("e") - c("n")) <= 0.1 * c("n")).alias("near"))
 
 
-@plan("BF.*", "BLOOMX.*", sql="select c_custkey, true as maybe from customer where c_custkey in (select o_custkey from orders)")
+def _md5(item: str, i: str) -> str:
+    """``sketches.by_md5`` in SQL."""
+    return f"('0x' || substr(md5({item} || ':' || {i}), 1, 15))::bigint"
+
+
+_URGENT = "o_orderpriority = '1-URGENT'"
+_BITS = f"b as (select distinct {_md5('o_custkey', 'i')} % 8192 as p from orders, (select unnest(range(3)) as i) where {_URGENT})"
+
+
+@plan("BF.*", "BLOOMX.*", sql=f"with {_BITS} select c_custkey, bool_and({_md5('c_custkey', 'i')} % 8192 in (select p from b)) as maybe from customer, (select unnest(range(3)) as i) group by 1")
 def bloom_filter(t: Tables) -> DataFrame:
-    """No member is missed."""
-    bits, hashes = sketches.bloom_size(200_000, 0.001)
-    words = sketches.bloom(t.orders, "o_custkey", bits, hashes)
-    members = t.customer.join(t.orders.select(c("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
-    return sketches.bloom_contains(members, "c_custkey", words, bits, hashes)
+    """Members and others asked of a filter so small that it errs; the SQL sets the same bits."""
+    words = sketches.bloom(t.orders.where(_URGENT), "o_custkey", 8192, 3, sketches.by_md5)
+    return sketches.bloom_contains(t.customer.select("c_custkey"), "c_custkey", words, 8192, 3, sketches.by_md5)
+
 
+def _print(item: str) -> str:
+    return f"{_md5(item, '0')} % 256 as bucket, ({_md5(item, '0')} >> 40) % 16 as print"
 
-@plan("CF.*", sql="select count(distinct o_custkey) as n from orders")
+
+@plan("CF.*", sql=f"with a as (select o_custkey as k, 1 as n from orders union all select o_custkey, -1 from orders where {_URGENT}), p as (select {_print('k')}, sum(n) as n from a group by 1, 2) select c_custkey, coalesce(n, 0) > 0 as maybe from (select c_custkey, {_print('c_custkey')} from customer) left join p using (bucket, print)")
 def cuckoo_filter(t: Tables) -> DataFrame:
-    """Added twice, deleted once: all are there."""
-    one = sketches.fingerprints(t.orders.select("o_custkey").distinct(), "o_custkey")
-    rows = one.union(one).union(one.withColumn("n", -c("n"))).groupBy("bucket", "print").agg(F.sum("n").alias("n"))
-    return rows.agg(F.sum("n").alias("n"))
+    """Customers of orders are added, those of urgent ones deleted again, all asked."""
+    added, gone = (sketches.fingerprints(o, "o_custkey", 256, 16, sketches.by_md5) for o in (t.orders, t.orders.where(_URGENT)))
+    rows = added.union(gone.withColumn("n", -c("n"))).groupBy("bucket", "print").agg(F.sum("n").alias("n"))
+    return sketches.fingerprints_contain(t.customer, "c_custkey", rows, 256, 16, sketches.by_md5)
 
 
-@plan("CMS.*", "SKETCH.*", sql="select l_suppkey, true as above from lineitem group by 1")
+@plan("CMS.*", "SKETCH.*", sql=f"with h as (select unnest(range(3)) as i), s as (select i, {_md5('l_suppkey', 'i')} % 32 as cell, count(*) as n from lineitem, h group by 1, 2), k as (select distinct l_suppkey from lineitem) select l_suppkey, min(n) as estimate from k, h, s where s.i = h.i and s.cell = {_md5('l_suppkey', 'h.i')} % 32 group by 1")
 def count_min(t: Tables) -> DataFrame:
-    """An estimate is never below the count."""
-    cells = sketches.count_min(t.lineitem, "l_suppkey", 5, 4096)
-    est = sketches.count_min_query(t.lineitem, "l_suppkey", cells, 5, 4096)
-    return est.join(t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n")), "l_suppkey").select("l_suppkey", (c("estimate") >= c("n")).alias("above"))
+    """Estimates of a sketch so narrow that items share cells; the SQL counts the same cells."""
+    cells = sketches.count_min(t.lineitem, "l_suppkey", 3, 32, hashed=sketches.by_md5)
+    return sketches.count_min_query(t.lineitem, "l_suppkey", cells, 3, 32, sketches.by_md5)
 
 
 @plan("TDIGEST.QUANTILE", "TDIGEST.ADD", "TDIGEST.CREATE", sql="select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.99), 6) as p99 from events group by 1")
@@ -117,11 +127,16 @@ def geo_distance(t: Tables) -> DataFrame:
     return places(t).select("member", F.round(g.distance(F.lit(0.0), F.lit(0.0), c("lat"), c("lon"), "mi"), 4).alias("miles"))
 
 
-@plan("GEOHASH", "GEO.ENCODE", "GEO.DECODE", sql=f"with {_PLACES} select member, true as near from places")
+def _geohash_sign(i: int) -> str:
+    bits = [(f"{'yx'[k % 2 == 0]} >> {14 - k // 2}", 4 - j) for j, k in enumerate(range(5 * i, 5 * i + 5))]
+    return f"substr('{g.BASE32}', (1 + " + " + ".join(f"((({b}) & 1) << {left})" for b, left in bits) + ")::bigint, 1)"
+
+
+@plan("GEOHASH", "GEO.ENCODE", "GEO.DECODE", sql=f"with {_PLACES}, cells as (select member, least(32767, floor((lon + 180) / 360 * 32768))::bigint as x, least(32767, floor((lat + 90) / 180 * 32768))::bigint as y from places) select member, {' || '.join(map(_geohash_sign, range(6)))} as hash, true as near from cells")
 def geohash(t: Tables) -> DataFrame:
-    """A cell's centre is within the cell of its point."""
-    h = places(t).withColumn("p", g.geohash_decode(g.geohash(c("lat"), c("lon"), 6), 6))
-    return h.select("member", ((F.abs(c("p.lat") - c("lat")) < 0.006) & (F.abs(c("p.lon") - c("lon")) < 0.006)).alias("near"))
+    """The cell of each point, and that the cell's centre is near it."""
+    h = places(t).withColumn("hash", g.geohash(c("lat"), c("lon"), 6)).withColumn("p", g.geohash_decode(c("hash"), 6))
+    return h.select("member", "hash", ((F.abs(c("p.lat") - c("lat")) < 0.006) & (F.abs(c("p.lon") - c("lon")) < 0.006)).alias("near"))
 
 
 _Q = [float(i % 7) - 3 for i in range(64)]
@@ -150,11 +165,13 @@ def ft_search_index(t: Tables) -> DataFrame:
     return search.search_index(search.postings(t.documents, "doc_id", "text", "The Token, Apache LICENSED!"), "The Token, Apache LICENSED!")
 
 
-@plan("FT.SEARCH")
+@plan("FT.SEARCH", sql=f"""with d as (select doc_id as id, {_TOKENS} as words from documents), p as (select id, unnest(['token', 'apache']) as token, len(words) as n, words from d),
+    h as (select id, token, n, len(list_filter(words, lambda w: w = token)) as tf from p), i as (select token, ln(1 + ((select count(*) from d) - count(*) + 0.5::double) / (count(*) + 0.5::double)) as idf from h where tf > 0 group by 1)
+    select id, round(sum(idf * (tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * n / (select avg(len(words)) from d))))), 6) as score from h join i using (token) where tf > 0 group by 1 order by 2 desc, 1 limit 20""")
 def ft_bm25(t: Tables) -> DataFrame:
     index = search.postings(t.documents, "doc_id", "text", "token apache")
     lengths = t.documents.select(c("doc_id").alias("id"), F.size(search.tokens(c("text"))).alias("n"))
-    return search.bm25(index, lengths, "token apache").orderBy(F.desc("score"), "id").limit(20)
+    return search.bm25(index, lengths, "token apache").select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
 
 
 @plan("FT.AGGREGATE", "FT.TAGVALS", sql=f"select source, count(*) as n, avg(n_chars) as size from documents where list_contains({_TOKENS}, 'apache') group by 1")
@@ -232,9 +249,17 @@ def dag_topo(t: Tables) -> DataFrame:
     return graph.levels(bought.join(bought.where("relation = 'bought'").select(c("dst").alias("src")).distinct(), "src", "left_semi").union(bought.where("relation = 'bought'")))
 
 
-@plan("GRAPH.QUERY")
+def _ranked(rounds: int) -> str:
+    """Rounds of rank as common tables; the sum of shares of 0.85 and an even share of 0.15."""
+    made = ["v as (select src as node from e union select dst from e), o as (select src, count(*) as d from e group by 1), r0 as (select node, 1::double / (select count(*) from v) as rank from v)"]
+    for i in range(rounds):
+        made.append(f"g{i} as (select dst as node, sum(rank / d) as got from e join o using (src) join r{i} on node = src group by 1), r{i + 1} as (select node, 0.15::double / (select count(*) from v) + 0.85::double * coalesce(got, 0) as rank from v left join g{i} using (node))")
+    return ", ".join(made)
+
+
+@plan("GRAPH.QUERY", sql=f"with {_EDGES}, {_ranked(5)} select node, round(rank, 9) as rank from r5 order by 2 desc, 1 limit 20")
 def graph_pagerank(t: Tables) -> DataFrame:
-    return graph.pagerank(edges(t), 5).orderBy(F.desc("rank"), "node").limit(20)
+    return graph.pagerank(edges(t), 5).select("node", F.round("rank", 9).alias("rank")).orderBy(F.desc("rank"), "node").limit(20)
 
 
 @plan("ANOMALY.DETECT", "ANOMALY.LEARN", sql="with s as (select event_type, avg(value) as m, stddev_pop(value) as d from events group by 1) select event_id, round((value - m) / d, 6) as z from events join s using (event_type) where abs((value - m) / d) > 2.5")
@@ -259,7 +284,9 @@ def recommend(t: Tables) -> DataFrame:
     return ml.together(rows, "l_orderkey", "p_brand", 1, 1000)
 
 
-@plan("CLASSIFIER.TRAIN", "CLASSIFIER.PREDICT", "EVALUATOR.RUN", "EVALUATOR.METRICS", "MLXPERIMENT.METRICS", "MLXPERIMENT.COMPARE")
+@plan("CLASSIFIER.TRAIN", "CLASSIFIER.PREDICT", "EVALUATOR.RUN", "EVALUATOR.METRICS", "MLXPERIMENT.METRICS", "MLXPERIMENT.COMPARE", sql="""with x as (select vec_id, label, unnest(embedding)::double as v, unnest(range(len(embedding))) as place from embeddings), m as (select label as guess, place, avg(v) as mean from x group by 1, 2),
+    d as (select vec_id, label, guess, sum(pow(v - mean, 2)) as d from x join m using (place) group by 1, 2, 3), f as (select label, guess as predicted from d qualify row_number() over (partition by vec_id order by d, guess) = 1)
+    select avg((label = predicted)::int) as accuracy, count(*) filter (label > 0 and predicted > 0) / count(*) filter (predicted > 0) as precision, count(*) filter (label > 0 and predicted > 0) / count(*) filter (label > 0) as recall from f""")
 def classifier(t: Tables) -> DataFrame:
     model = ml.centroids(t.embeddings, "label", "embedding")
     found = ml.classify(t.embeddings, "vec_id", "embedding", model, "label").withColumnRenamed("label", "predicted")

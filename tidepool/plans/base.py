@@ -47,6 +47,12 @@ def plan(*commands: str, sql: str | None = None, name: str | None = None):
     return add
 
 
+def crc32_sql(text: str) -> str:
+    """CRC-32 of ASCII text in SQL, a bit at a time: each byte enters at the first of its eight steps."""
+    bits = f"flatten([[ord(ch)::bigint, 0, 0, 0, 0, 0, 0, 0] for ch in string_split({text}, '') if ch <> ''])"
+    return f"xor(4294967295, list_reduce([4294967295::bigint] || {bits}, lambda a, e: xor(xor(a, e) >> 1, (xor(a, e) & 1) * 3988292384)))"
+
+
 def scalars(table: str, key: str, entries: dict[str, tuple[str, Callable[[], Column], str | None]]) -> None:
     """A query of (key, value) for each entry: name -> commands, Column, SQL."""
     for name, (commands, column, sql) in entries.items():

@@ -136,12 +136,15 @@ def _pushes(t: Tables) -> DataFrame:
     return t.events.where(c("event_type").isin("view", "click", "error")).select("user_id", "event_id", F.when(c("event_type") == "error", "pop").otherwise("push").alias("op"))
 
 
-@plan("QUEUE.*", "ACTOR.*", "STREAMPROC.*", "MSGQUEUE.CONSUME", "MSGQUEUE.PUBLISH", "SHUFFLE.*", "BUFFERX.*")
+_DEPTHS = "s as (select *, sum(d) over (partition by user_id order by event_id) as x from (select user_id, event_id, case when event_type = 'error' then -1 else 1 end as d from events where event_type in ('view', 'click', 'error')))"
+
+
+@plan("QUEUE.*", "ACTOR.*", "STREAMPROC.*", "MSGQUEUE.CONSUME", "MSGQUEUE.PUBLISH", "SHUFFLE.*", "BUFFERX.*", sql=f"with {_DEPTHS}, e as (select user_id, count(*) filter (d < 0) + least(0, min(x)) as taken from s group by 1) select user_id, event_id from (select *, row_number() over (partition by user_id order by event_id) as nth from s where d > 0) join e using (user_id) where nth > taken")
 def queue_state(t: Tables) -> DataFrame:
     return state.queue(_pushes(t), "user_id", "op", "event_id").select("user_id", "event_id")
 
 
-@plan("STACK.*")
+@plan("STACK.*", sql=f"with {_DEPTHS}, y as (select *, x - least(0, min(x) over (partition by user_id order by event_id)) as depth from s) select user_id, event_id from y qualify d > 0 and coalesce(min(depth) over (partition by user_id order by event_id rows between 1 following and unbounded following), depth) >= depth")
 def stack_state(t: Tables) -> DataFrame:
     return state.stack(_pushes(t), "user_id", "op", "event_id").select("user_id", "event_id")
 
@@ -159,18 +162,36 @@ def state_machine(t: Tables) -> DataFrame:
     return out.groupBy("user_id").agg(F.max_by("state", "event_id").alias("state"))
 
 
-@plan("TOKENBUCKET.*", "RL.*", "BUCKETX.*", "LEAKYBUCKET.*")
+def _turns(start: str, step: str, key: str = "user_id", more: str = "true") -> str:
+    """A fold of events in order, one round for each turn of all keys: r holds the state, o the rows."""
+    return f"""with recursive o as (select event_id, {key} as key, {more} as x, epoch_us(ts) / 1e6 as secs, row_number() over (partition by {key} order by ts, event_id) as n from events),
+    r as (select key, 0::bigint as n, null::bigint as event_id, {start} from (select distinct key from o) union all select q.key, q.n, q.event_id, {step})"""
+
+
+@plan("TOKENBUCKET.*", "RL.*", "BUCKETX.*", "LEAKYBUCKET.*", sql=_turns(
+    "3::double as have, null::double as last, true as allowed",
+    "have - (have >= 1)::int, secs, have >= 1 from (select o.*, least(3::double, r.have + coalesce((o.secs - r.last) * (1::double / 3600), 0)) as have from r join o on o.key = r.key and o.n = r.n + 1) q",
+) + " select event_id, allowed from r where n > 0")
 def token_bucket(t: Tables) -> DataFrame:
     return state.token_bucket(t.events.select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", 3.0, 1 / 3600).select("event_id", "allowed")
 
 
-@plan("CIRCUIT.*", "CIRCUITBREAKER.*", "CIRCUITX.*")
+@plan("CIRCUIT.*", "CIRCUITBREAKER.*", "CIRCUITX.*", sql=_turns(
+    "'closed' as state, 0 as fails, 0::double as opened",
+    """case when state = 'open' or x and (state = 'half-open' or fails >= 1) then 'open' else 'closed' end, case when state = 'open' or state = 'half-open' and x then fails when state = 'half-open' or not x then 0 else fails + 1 end,
+    case when x and (state = 'half-open' or state = 'closed' and fails >= 1) then secs else opened end
+    from (select o.*, r.fails, r.opened, case when r.state = 'open' and o.secs - r.opened >= 7200 then 'half-open' else r.state end as state from r join o on o.key = r.key and o.n = r.n + 1) q""",
+    more="event_type = 'error'",
+) + " select event_id, state from r where n > 0")
 def circuit_breaker(t: Tables) -> DataFrame:
     calls = t.events.withColumn("failed", c("event_type") == "error")
     return state.circuit(calls, "user_id", "ts", "event_id", "failed", 2, 7200.0).select("event_id", "state")
 
 
-@plan("COOLDOWN.*", "THROTTLE.*")
+@plan("COOLDOWN.*", "THROTTLE.*", sql=_turns(
+    "null::double as last, true as allowed",
+    "case when ok then secs else last end, ok from (select o.*, r.last, coalesce(o.secs - r.last >= 3600, true) as ok from r join o on o.key = r.key and o.n = r.n + 1) q",
+) + " select event_id, allowed from r where n > 0")
 def cooldown(t: Tables) -> DataFrame:
     return state.cooled_down(t.events, "user_id", "ts", "event_id", 3600.0).select("event_id", "allowed")
 
@@ -187,7 +208,11 @@ def permits_held(t: Tables) -> DataFrame:
     return state.held(log, "user_id", "d", "event_id").select("event_id", "held")
 
 
-@plan("LOCK.*", "LOCKX.*", "LEASE.*", "LEADER.*", "CACHE.LOCK", "CACHE.UNLOCK", "CACHE.LOCKED", "CACHE.REFRESH")
+@plan("LOCK.*", "LOCKX.*", "LEASE.*", "LEADER.*", "CACHE.LOCK", "CACHE.UNLOCK", "CACHE.LOCKED", "CACHE.REFRESH", sql=_turns(
+    "null::bigint as owner, 0::double as until, true as granted",
+    "case when ok then x else owner end, case when ok then secs + 7200 else until end, ok from (select o.*, r.owner, r.until, r.owner is null or r.owner = o.x or o.secs > r.until as ok from r join o on o.key = r.key and o.n = r.n + 1) q",
+    key="event_type", more="user_id % 5",
+) + " select event_id, granted from r where n > 0")
 def lock_leases(t: Tables) -> DataFrame:
     asks = t.events.select("event_type", (c("user_id") % 5).alias("holder"), "ts", "event_id")
     return state.leases(asks, "event_type", "holder", "ts", 7200, "event_id").select("event_id", "granted")

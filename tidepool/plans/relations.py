@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as j
 from ..operators import sets as s
-from .base import Tables, plan
+from .base import Tables, crc32_sql, plan
 
 c = F.col
 #: Users by kind of event, over a threshold that tells the sets apart.
@@ -113,14 +113,18 @@ def join_interval(t: Tables) -> DataFrame:
     return j.interval(t.part.select("p_partkey"), spans, "p_partkey", "a", "b", 32).select("p_partkey", "s_suppkey")
 
 
-@plan("PARTITION.*", "PARTITIONX.*", "SHARD.STATUS", "SHARD.LIST", "SHARD.REBALANCE")
+@plan("PARTITION.*", "PARTITIONX.*", "SHARD.STATUS", "SHARD.LIST", "SHARD.REBALANCE", sql=f"select {crc32_sql('c_custkey::varchar')} % 16 as part, count(*) as n from customer group by 1")
 def partition_assign(t: Tables) -> DataFrame:
     return t.customer.select(j.partition_of(c("c_custkey"), 16).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
 
 
-@plan("RING.*")
+_NODES = ["north", "east", "south", "west"]
+
+
+@plan("RING.*", sql=f"""with p as (select n, {crc32_sql("n || '#' || i")} as h from (select unnest({_NODES}) as n), (select unnest(range(16)) as i)), k as (select c_custkey, {crc32_sql("c_custkey::varchar")} as h from customer),
+    f as (select c_custkey, coalesce(arg_min(p.n, p.h) filter (p.h >= k.h), arg_min(p.n, p.h)) as node from k, p group by 1) select node, count(*) as n from f group by 1""")
 def ring_nodes(t: Tables) -> DataFrame:
-    return j.ring(t.customer.select("c_custkey"), "c_custkey", ["north", "east", "south", "west"]).groupBy("node").agg(F.count("*").alias("n"))
+    return j.ring(t.customer.select("c_custkey"), "c_custkey", _NODES).groupBy("node").agg(F.count("*").alias("n"))
 
 
 @plan("TAGKEYS", "TAGS", "ADDTAG", "SETTAG", "INDEX.*", sql="select unnest(list_distinct(str_split(p_name, ' ') || [p_type])) as tag, p_partkey from part")

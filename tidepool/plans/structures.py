@@ -13,7 +13,7 @@ from ..functions import checks, codec
 from ..functions import jsons as j
 from ..functions import maps as m
 from ..functions import vectors as v
-from .base import Tables, plan, scalars
+from .base import Tables, crc32_sql, plan, scalars
 
 
 def c(name: str):
@@ -74,6 +74,16 @@ scalars(
 )
 _t = lambda: c("p_name")
 _key = "secret"
+def _hmac_sql(algorithm: str) -> str:
+    """Keyed digests in SQL, for hashes with blocks of 64 bytes."""
+    inner, outer = ("".join(f"\\x{x ^ pad:02X}" for x in _key.encode().ljust(64, bytes(1))) for pad in (0x36, 0x5C))
+    return f"{algorithm}('{outer}'::blob || unhex({algorithm}('{inner}'::blob || p_name::blob)))"
+
+
+_BYTES = "[ord(ch)::bigint for ch in string_split(p_name, '') if ch <> '']"
+_ADLER = f"((length(p_name) + list_sum([x * (length(p_name) - i + 1) for x, i in {_BYTES}])) % 65521 * 65536 + (1 + list_sum({_BYTES})) % 65521)::bigint"
+
+
 scalars(
     "part",
     "p_partkey",
@@ -82,11 +92,11 @@ scalars(
         "digest_sha1": ("DIGEST.SHA1", lambda: codec.digest(_t(), "SHA-1"), "sha1(p_name)"),
         "digest_sha256": ("DIGEST.SHA256", lambda: codec.digest(_t(), "sha256"), "sha256(p_name)"),
         "digest_sha512": ("DIGEST.SHA512", lambda: codec.digest(_t(), "sha512"), None),
-        "digest_crc32": ("DIGEST.CRC32", lambda: F.crc32(_t()), None),
-        "digest_adler32": ("DIGEST.ADLER32", lambda: codec.adler32(_t()), None),
-        "digest_hmac_md5": ("DIGEST.HMACMD5", lambda: codec.hmac(_key, _t(), "md5"), None),
-        "digest_hmac_sha1": ("DIGEST.HMACSHA1", lambda: codec.hmac(_key, _t(), "sha1"), None),
-        "digest_hmac_sha256": ("DIGEST.HMACSHA256 DIGEST.HMAC CRYPTO.HMAC", lambda: codec.hmac(_key, _t(), "sha256"), f"sha256('{''.join(chr(92) + f'x{x ^ 0x5C:02X}' for x in _key.encode().ljust(64, bytes(1)))}'::blob || unhex(sha256('{''.join(chr(92) + f'x{x ^ 0x36:02X}' for x in _key.encode().ljust(64, bytes(1)))}'::blob || p_name::blob)))"),
+        "digest_crc32": ("DIGEST.CRC32", lambda: F.crc32(_t()), crc32_sql("p_name")),
+        "digest_adler32": ("DIGEST.ADLER32", lambda: codec.adler32(_t()), _ADLER),
+        "digest_hmac_md5": ("DIGEST.HMACMD5", lambda: codec.hmac(_key, _t(), "md5"), _hmac_sql("md5")),
+        "digest_hmac_sha1": ("DIGEST.HMACSHA1", lambda: codec.hmac(_key, _t(), "sha1"), _hmac_sql("sha1")),
+        "digest_hmac_sha256": ("DIGEST.HMACSHA256 DIGEST.HMAC CRYPTO.HMAC", lambda: codec.hmac(_key, _t(), "sha256"), _hmac_sql("sha256")),
         "digest_hmac_sha512": ("DIGEST.HMACSHA512", lambda: codec.hmac(_key, _t(), "sha512"), None),
         "base64_encode": ("DIGEST.BASE64ENCODE", lambda: F.base64(_t().cast("binary")), "to_base64(p_name::blob)"),
         "base64_decode": ("DIGEST.BASE64DECODE", lambda: F.unbase64(F.base64(_t().cast("binary"))).cast("string"), "p_name"),
