@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from tidepool.operators import replay
 
 
@@ -88,6 +90,102 @@ def test_replay_against_an_interpreter(spark):
     assert got == ls
 
 
+def run(state, op, *a):
+    """One command on {key: value}; values are text, dict, set, or list. False if it wouldn't take effect."""
+    if op == "FLUSHALL":
+        state.clear()
+    elif op in ("DEL", "UNLINK"):
+        if not any(k in state for k in a):
+            return False
+        for k in a:
+            state.pop(k, None)
+    elif op == "RENAME":
+        if a[0] not in state:
+            return False
+        state[a[1]] = state.pop(a[0])
+    elif op == "RENAMENX":
+        if a[0] not in state or a[1] in state:
+            return False
+        state[a[1]] = state.pop(a[0])
+    elif op == "SET":
+        state[a[0]] = a[1]
+    elif op == "MSET":
+        state.update(zip(a[::2], a[1::2], strict=True))
+    elif op == "APPEND":
+        if not isinstance(state.get(a[0], ""), str):
+            return False
+        state[a[0]] = state.get(a[0], "") + a[1]
+    elif op in ("HSET", "HSETNX"):
+        h = state.get(a[0], {})
+        if not isinstance(h, dict) or op == "HSETNX" and a[1] in h:
+            return False
+        state[a[0]] = {**h, a[1]: a[2]}
+    elif op == "SADD":
+        m = state.get(a[0], set())
+        if not isinstance(m, set):
+            return False
+        state[a[0]] = m | {a[1]}
+    elif op == "SMOVE":
+        m, to = state.get(a[0]), state.get(a[1], set())
+        if not isinstance(m, set) or a[2] not in m or len(m) < 2 or not isinstance(to, set) or a[0] == a[1]:
+            return False
+        state[a[0]], state[a[1]] = m - {a[2]}, to | {a[2]}
+    elif op == "RPUSH":
+        v = state.get(a[0], [])
+        if not isinstance(v, list):
+            return False
+        state[a[0]] = [*v, *a[1:]]
+    return True
+
+
+def folded(log):
+    t = replay.tables(log)
+    got = {r.key: r.value for r in t["strings"].collect()}
+    for r in t["hashes"].collect():
+        got.setdefault(r.key, {})[r.field] = r.value
+    for r in t["sets"].collect():
+        got.setdefault(r.key, set()).add(r.member)
+    for r in t["lists"].orderBy("key", "pos").collect():
+        got.setdefault(r.key, []).append(r.value)
+    return got
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_renames_and_changes_of_kind(spark, seed):
+    rng = random.Random(seed)
+    key, x = lambda: rng.choice("abcdefgh"), lambda: rng.choice("pqrs")
+    kinds = [
+        lambda: ("SET", key(), x()),
+        lambda: ("MSET", "a", x(), "z", x()),
+        lambda: ("APPEND", key(), x()),
+        lambda: ("HSET", key(), x(), x()),
+        lambda: ("HSETNX", key(), x(), x()),
+        lambda: ("SADD", key(), x()),
+        *[lambda: ("SADD", key(), x()), lambda: ("SMOVE", key(), key(), x())] * 3,
+        lambda: ("RPUSH", key(), x(), x()),
+        lambda: ("RENAME", key(), key()),
+        lambda: ("RENAME", key(), key()),
+        lambda: ("RENAMENX", key(), key()),
+        lambda: ("DEL", key(), key()),
+        lambda: ("UNLINK", key()),
+    ]
+    state, ran = {}, []
+    for i in range(400):
+        c = ("FLUSHALL",) if i == 120 else rng.choice(kinds)()
+        if run(state, *c):
+            ran.append(c)
+    log = spark.createDataFrame([(i, c[0], [a.encode() for a in c[1:]]) for i, c in enumerate(ran)], "seq long, op string, args array<binary>")
+    assert {c[0] for c in ran} >= {"RENAME", "RENAMENX", "SMOVE", "HSETNX", "FLUSHALL"}
+    assert folded(log) == state
+
+
+def test_a_long_chain_of_renames(spark):
+    ran = [("SET", "k0", "v"), *[("RENAME", f"k{i}", f"k{i + 1}") for i in range(40)], ("APPEND", "k40", "w"), ("RENAME", "k40", "k40"), ("SET", "k3", "new")]
+    log = spark.createDataFrame([(i, c[0], [a.encode() for a in c[1:]]) for i, c in enumerate(ran)], "seq long, op string, args array<binary>")
+    assert folded(log) == {"k40": "vw", "k3": "new"}
+    assert folded(log.limit(0)) == {}
+
+
 def test_appends_and_streams(spark):
     ran = [("SET", "k", "a"), ("APPEND", "k", "b"), ("APPEND", "k", "c"), ("APPEND", "n", "x"), ("XADD", "s", "1-0", "f", "v"), ("XADD", "s", "2-0", "f", "w"), ("XDEL", "s", "1-0")]
     log = spark.createDataFrame([(i, c[0], [a.encode() for a in c[1:]]) for i, c in enumerate(ran)], "seq long, op string, args array<binary>")

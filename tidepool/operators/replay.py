@@ -2,7 +2,8 @@
 
 Rows of ``(seq, op, args)``, as ``sources.oplog`` reads them, become one table for each kind of value.
 Each fold is a few groupBys: what comes before a key's last reset is left out, the last write of
-each field or member wins, and increments after it are summed. seq orders all commands.
+each field or member wins, and increments after it are summed. seq orders all commands. A log holds the
+commands that took effect, so a rename has a source and an increment meets a number.
 """
 
 from __future__ import annotations
@@ -10,8 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 #: Commands that make a key vanish, whatever its kind.
 GONE = ("DEL", "UNLINK", "GETDEL")
+FLUSHES = ("FLUSHDB", "FLUSHALL")
+RENAMES = ("RENAME", "RENAMENX")
+#: Commands that put a string in place of whatever the key held.
+REPLACES = ("SET", "SETEX", "PSETEX", "MSET")
 
 
 def _arg(i: int) -> Column:
@@ -22,16 +29,73 @@ def _rows(log: DataFrame, *ops: str) -> DataFrame:
     return log.where(F.col("op").isin(*ops)).withColumn("key", _arg(0))
 
 
+def single(log: DataFrame) -> DataFrame:
+    """The log with a row for each key: deletes and MSET by key, SMOVE as SREM and SADD."""
+    text = F.col("args").cast("array<string>")
+    pairs = F.expr("transform(sequence(0, size(args) div 2 - 1), i -> struct('SET' as op, array(args[2 * i], args[2 * i + 1]) as args))")
+    gone = F.transform(text, lambda k: F.struct(F.lit("DEL").alias("op"), F.array(k.cast("binary")).alias("args")))
+    key = lambda i: F.get("args", i)
+    move = F.array(F.struct(F.lit("SREM").alias("op"), F.array(key(0), key(2)).alias("args")), F.struct(F.lit("SADD").alias("op"), F.array(key(1), key(2)).alias("args")))
+    same = F.array(F.struct("op", "args"))
+    cases = F.when(F.col("op") == "MSET", pairs).when(F.col("op").isin(*GONE), gone).when(F.col("op") == "SMOVE", move).otherwise(same)
+    return log.select("seq", F.explode(cases).alias("r")).select("seq", "r.op", "r.args")
+
+
+def renamed(log: DataFrame) -> DataFrame:
+    """The log as if each key had always had its last name, without RENAME and RENAMENX.
+
+    A key lives from one delete, flush or rename to the next. A life that a rename ends goes on as a
+    life of the new name; one that a delete or a rename onto its key ends is dropped. Lives, not rows,
+    are followed, by doubling, so a chain of n renames takes log n rounds. Only keys that a rename
+    names are numbered; rows of all others pass.
+    """
+    log = single(log)
+    moves = log.where(F.col("op").isin(*RENAMES)).select("seq", _arg(0).alias("key"), _arg(1).alias("dest")).where("key <> dest")
+    ends = moves.select("seq", "key", "dest").union(moves.select("seq", F.col("dest").alias("key"), F.lit(None).cast("string")))
+    rows = log.where(~F.col("op").isin(*RENAMES)).withColumn("key", _arg(0))
+    flush = F.col("op").isin(*FLUSHES)
+    named = ends.select("key").distinct()
+    stay, go = (rows.where(~flush).join(named, "key", how).select(*rows.columns) for how in ("left_anti", "left_semi"))
+    none = F.lit(None).cast("string").alias("dest")
+    ends = ends.union(go.where("op = 'DEL'").select("seq", "key", none).distinct()).union(rows.where(flush).select("seq").crossJoin(named).select("seq", "key", none))
+    every = go.where("op <> 'DEL'").select("seq", "key", "op", "args", none, F.lit(0).alias("end")).unionByName(ends.select("*", F.lit(1).alias("end")), allowMissingColumns=True)
+    lives = cut(every.withColumn("life", F.sum("end").over(Window.partitionBy("key").orderBy("seq", "end"))))
+    # An end closes the life before it and opens its own; a moved life goes on in the one that the same rename opened.
+    over = lives.where("end = 1")
+    opened = over.where("dest IS NULL").select("seq", F.col("key").alias("dest"), F.col("life").alias("to"))
+    path = over.select("seq", "key", "dest", (F.col("life") - 1).alias("life")).join(opened, ["seq", "dest"], "left").select("key", "life", "dest", "to")
+    path = cut(path)
+    while True:
+        on = path.select(F.col("key").alias("dest"), F.col("life").alias("to"), F.col("dest").alias("dest2"), F.col("to").alias("to2"), F.lit(True).alias("further"))
+        path = cut(path.join(on, ["dest", "to"], "left").select("key", "life", F.when(F.col("further"), F.col("dest2")).otherwise(F.col("dest")).alias("dest"), F.when(F.col("further"), F.col("to2")).otherwise(F.col("to")).alias("to"), "further"))
+        more = path.where("further").limit(1).count()
+        path = path.drop("further")
+        if not more:
+            break
+    found = lives.where("end = 0").drop("dest").join(path.select("key", "life", "dest", F.lit(True).alias("over")), ["key", "life"], "left").where("over IS NULL OR dest IS NOT NULL")
+    args = F.concat(F.array(F.coalesce("dest", "key").cast("binary")), F.expr("slice(args, 2, greatest(size(args) - 1, 0))"))
+    # What is left of the named keys came after the last flush; for all other keys flushes stay in the log.
+    return stay.union(rows.where(flush)).select("seq", "op", "args").union(found.select("seq", "op", args))
+
+
 def resets(log: DataFrame) -> DataFrame:
     """(key, reset): the last command that deleted each key."""
     keys = log.where(F.col("op").isin(*GONE)).select("seq", F.explode(F.col("args").cast("array<string>")).alias("key"))
     return keys.groupBy("key").agg(F.max("seq").alias("reset"))
 
 
-def _live(rows: DataFrame, log: DataFrame) -> DataFrame:
-    """Rows after the last delete of their key; a flush deletes all. Row and reset meet by key after both are counted down."""
-    flush = log.where(F.col("op").isin("FLUSHDB", "FLUSHALL")).agg(F.max("seq").alias("flush"))
-    out = rows.join(resets(log), "key", "left").crossJoin(F.broadcast(flush))  # one row
+def _replaced(log: DataFrame) -> DataFrame:
+    """(key, reset): the last command that made each key a string."""
+    rows = log.where(F.col("op").isin(*REPLACES))
+    keys = F.when(F.col("op") == "MSET", F.expr("transform(sequence(0, size(args) div 2 - 1), i -> cast(args[2 * i] as string))")).otherwise(F.array(_arg(0)))
+    return rows.select("seq", F.explode(keys).alias("key")).groupBy("key").agg(F.max("seq").alias("reset"))
+
+
+def _live(rows: DataFrame, log: DataFrame, text: bool = False) -> DataFrame:
+    """Rows after the last delete of their key, or for other kinds than text its last SET; a flush deletes all. Row and reset meet by key after both are counted down."""
+    flush = log.where(F.col("op").isin(*FLUSHES)).agg(F.max("seq").alias("flush"))
+    ends = resets(log) if text else resets(log).union(_replaced(log)).groupBy("key").agg(F.max("reset").alias("reset"))
+    out = rows.join(ends, "key", "left").crossJoin(F.broadcast(flush))  # one row
     return out.where((F.col("seq") > F.coalesce("reset", F.lit(-1))) & (F.col("seq") > F.coalesce("flush", F.lit(-1)))).drop("reset", "flush")
 
 
@@ -41,7 +105,7 @@ def strings(log: DataFrame) -> DataFrame:
     Steps and appends apply in the order of seq to the last value set. SETNX writes only keys that no other write has before it since the last delete.
     """
     pairs = log.where("op = 'MSET'").select("seq", F.lit("SET").alias("op"), F.explode(F.expr("transform(sequence(0, size(args) div 2 - 1), i -> array(args[2 * i], args[2 * i + 1]))")).alias("args"))
-    rows = _live(_rows(log.select("seq", "op", "args").union(pairs), "SET", "SETNX", "SETEX", "PSETEX", "GETSET", "APPEND", "INCR", "INCRBY", "DECR", "DECRBY"), log)
+    rows = _live(_rows(log.select("seq", "op", "args").union(pairs), "SET", "SETNX", "SETEX", "PSETEX", "GETSET", "APPEND", "INCR", "INCRBY", "DECR", "DECRBY"), log, text=True)
     first = F.row_number().over(Window.partitionBy("key").orderBy("seq")) == 1
     rows = rows.withColumn("first", first).where("op <> 'SETNX' OR first")
     value = F.when(F.col("op").isin("SETEX", "PSETEX"), _arg(2)).otherwise(_arg(1))
@@ -79,8 +143,8 @@ def _each(rows: DataFrame, start: int = 1) -> DataFrame:
 
 
 def hashes(log: DataFrame) -> DataFrame:
-    """(key, field, value) after HSET, HMSET, HDEL and HINCRBY."""
-    puts = _pairs(_live(_rows(log, "HSET", "HMSET"), log), 1)
+    """(key, field, value) after HSET, HMSET, HSETNX, HDEL and HINCRBY. A log holds HSETNX only where the field was new, so it writes like HSET."""
+    puts = _pairs(_live(_rows(log, "HSET", "HMSET", "HSETNX"), log), 1)
     cuts = _each(_live(_rows(log, "HDEL"), log)).withColumn("b", F.lit(None).cast("string"))
     steps = _live(_rows(log, "HINCRBY"), log).select("seq", "key", _arg(1).alias("a"), _arg(2).cast("double").alias("d"))
     return _counted(puts.union(cuts), steps).select("key", F.col("a").alias("field"), "value")
@@ -128,4 +192,6 @@ def streams(log: DataFrame) -> DataFrame:
 
 
 def tables(log: DataFrame) -> dict[str, DataFrame]:
+    """All kinds of value after every command of the log, renames, moves and changes of kind among them."""
+    log = renamed(log)
     return {"strings": strings(log), "hashes": hashes(log), "sets": sets(log), "ranked_sets": ranked_sets(log), "lists": lists(log), "streams": streams(log)}

@@ -137,3 +137,16 @@ def replay_ranked(t: Tables) -> DataFrame:
 @plan("RPUSH", sql="select o_custkey::varchar as key, row_number() over (partition by o_custkey order by o_orderkey)::int as pos, o_orderkey::varchar as value from orders")
 def replay_lists(t: Tables) -> DataFrame:
     return replay.lists(_orders_log(t, "RPUSH", "o_custkey", "o_orderkey"))
+
+
+@plan("RENAME", "RENAMENX", "KEY.RENAME", "KEY.RENAMENX", sql="""with o as (select o_orderkey as k, o_custkey as u, o_orderpriority = '1-URGENT' as urgent from orders), m as (select u % 7 as x, max(k) as k, arg_max(k % 3 = 0, k) as old from o where urgent group by 1)
+    select u::varchar as key, max(k)::varchar as value from o group by u having not arg_max(urgent, k) union all select 'moved:' || x, k::varchar from m where not old
+    union all select 'old:' || u % 7, max(k)::varchar from o where urgent and k % 3 = 0 group by u % 7""")
+def replay_renames(t: Tables) -> DataFrame:
+    """Each order sets its customer's key; urgent ones rename it, every third of them twice, onto keys that all share."""
+    key = c("o_custkey").cast("string")
+    moved, old = (F.concat(F.lit(f"{x}:"), (c("o_custkey") % 7).cast("string")) for x in ("moved", "old"))
+    urgent = c("o_orderpriority") == "1-URGENT"
+    step = lambda i, op, a, b, cond: F.when(cond, F.struct((c("o_orderkey") * 3 + i).alias("seq"), F.lit(op).alias("op"), F.array(a.cast("binary"), b.cast("binary")).alias("args")))
+    steps = F.array_compact(F.array(step(0, "SET", key, c("o_orderkey").cast("string"), F.lit(True)), step(1, "RENAME", key, moved, urgent), step(2, "RENAME", moved, old, urgent & (c("o_orderkey") % 3 == 0))))
+    return replay.strings(replay.renamed(t.orders.select(F.explode(steps).alias("x")).select("x.*")))
