@@ -161,7 +161,8 @@ def test_renames_and_changes_of_kind(spark, seed):
         lambda: ("HSET", key(), x(), x()),
         lambda: ("HSETNX", key(), x(), x()),
         lambda: ("SADD", key(), x()),
-        *[lambda: ("SADD", key(), x()), lambda: ("SMOVE", key(), key(), x())] * 3,
+        *[lambda: ("SADD", rng.choice("tu"), x()), lambda: ("SMOVE", "t", "u", x())] * 2,
+        lambda: ("RENAME", "u", key()),
         lambda: ("RPUSH", key(), x(), x()),
         lambda: ("RENAME", key(), key()),
         lambda: ("RENAME", key(), key()),
@@ -170,7 +171,7 @@ def test_renames_and_changes_of_kind(spark, seed):
         lambda: ("UNLINK", key()),
     ]
     state, ran = {}, []
-    for i in range(400):
+    for i in range(500):
         c = ("FLUSHALL",) if i == 120 else rng.choice(kinds)()
         if run(state, *c):
             ran.append(c)
